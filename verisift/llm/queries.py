@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .exact_dedup import SQL_OP6, op6_exact_dedup
 from .mixing import SQL_OP4, op4_mixing
+from .packing import op8_packing
 from .url_filters import op9_url_filters
+from .warc import SQL_OP10, op10_warc
 
 QUERIES = {
     "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_packing": op8_packing,
     "op9_url_filters": op9_url_filters,
+    "op10_warc": op10_warc,
 }
-ORACLE_SQL = {"op4_mixing": SQL_OP4, "op6_exact_dedup": SQL_OP6}
+ORACLE_SQL = {"op4_mixing": SQL_OP4, "op6_exact_dedup": SQL_OP6, "op10_warc": SQL_OP10}
