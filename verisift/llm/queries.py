@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .exact_dedup import SQL_OP6, op6_exact_dedup
+from .language_id import op2_language_id
 from .mixing import SQL_OP4, op4_mixing
 from .packing import op8_packing
 from .url_filters import op9_url_filters
 from .warc import SQL_OP10, op10_warc
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_packing": op8_packing,
