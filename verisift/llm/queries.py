@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import SQL_OP6, op6_exact_dedup
+from .fingerprints import op7_fingerprints
 from .language_id import op2_language_id
 from .mixing import SQL_OP4, op4_mixing
 from .packing import op8_packing
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
     "op9_url_filters": op9_url_filters,
     "op10_warc": op10_warc,
