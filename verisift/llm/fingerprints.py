@@ -36,33 +36,51 @@ def _runs(values: Column, key) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda i: (i == 0) | (key(F.get(values, i)) != key(F.get(values, i - 1))))
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, length: int = LENGTH) -> DataFrame:
-    """Adds ``name``: array of BINS slots (null for an empty one). Steps are columns, so each is computed once."""
-    w, h, p, s, o, t, b = (f"_{name}_{x}" for x in "whpsotb")
-    high = F.lit(~_POS).cast("long")
-    pos = F.lit(_POS).cast("long")
-    df = df.withColumn(w, F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE_CLASS + "+"), lambda x: x != ""))
-    n = F.size(w)
-    kmers = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(F.col(w), i + j) for j in range(k)]))
-    df = df.withColumn(h, F.when(n >= k, kmers).when(n > 0, F.array(F.xxhash64(F.col(w)))).otherwise(F.array().cast("array<long>"))).drop(w)
-    df = df.withColumn(p, F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long")))))
-    df = df.withColumn(s, F.when(F.size(p) > 0, _runs(F.col(p), lambda x: F.shiftright(x, POS_BITS))).otherwise(F.array().cast("array<int>")))
-    lengths = F.transform(s, lambda x, j: F.coalesce(F.get(F.col(s), j + 1), F.size(p)) - x)
-    df = df.withColumn(o, F.when(F.size(s) < F.size(p), F.flatten(F.transform(lengths, lambda x: F.sequence(F.lit(0), x - 1)))))
-    value = lambda x, i: F.xxhash64(F.shiftright(x, POS_BITS), F.coalesce(F.get(F.col(o), i), F.lit(0)))
-    df = df.withColumn(t, F.sort_array(F.transform(p, lambda x, i: value(x, i).bitwiseAND(high).bitwiseOR(x.bitwiseAND(pos))))).drop(p, s, o)
-    df = df.withColumn(b, F.when(F.size(t) > 0, _runs(F.col(t), lambda x: F.shiftright(x, _BIN_SHIFT))).otherwise(F.array().cast("array<int>")))
-
-    def slot(i: Column) -> Column:
-        bin_ = F.shiftright(F.get(F.col(t), i), _BIN_SHIFT)
-        least = F.filter(F.slice(F.col(t), i + 1, length), lambda x: F.shiftright(x, _BIN_SHIFT) == bin_)
-        kmer = F.transform(F.sort_array(F.transform(least, lambda x: x.bitwiseAND(pos))), lambda q: F.get(F.col(h), q.cast("int")))
-        digits = F.lower(F.lpad(F.hex(F.xxhash64(kmer).bitwiseAND(F.lit(0xFFFF).cast("long"))), 4, "0"))
-        return F.struct(bin_.cast("int").alias("bin"), digits.alias("digits"))
-
-    slots = F.map_from_entries(F.transform(b, slot))
-    df = df.withColumn(b, slots)
-    return df.withColumn(name, F.transform(F.sequence(F.lit(-BINS // 2), F.lit(BINS // 2 - 1)), lambda i: F.try_element_at(F.col(b), i))).drop(h, t, b)
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: the optimizer would copy a plain column into the lambdas that use it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def slots_of(text: Column, k: int = K, length: int = LENGTH) -> Column:
+    """The array of BINS slots of a text (null for an empty slot)."""
+    high, pos = F.lit(~_POS).cast("long"), F.lit(_POS).cast("long")
+    no_longs = F.array().cast("array<long>")
+
+    def kmer_hashes(w: Column) -> Column:
+        n = F.size(w)
+        several = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+        return F.when(n >= k, several).when(n > 0, F.array(F.xxhash64(w))).otherwise(no_longs)
+
+    def occurrences(p: Column, s: Column) -> Column:
+        """The occurrence numbers along the sorted array, from the lengths of its runs; null if all are 0."""
+        lengths = F.transform(s, lambda x, j: F.coalesce(F.get(s, j + 1), F.size(p)) - x)
+        return F.when(F.size(s) < F.size(p), F.flatten(F.transform(lengths, lambda x: F.sequence(F.lit(0), x - 1))))
+
+    def values(p: Column, o: Column) -> Column:
+        value = lambda x, i: F.xxhash64(F.shiftright(x, POS_BITS), F.coalesce(F.get(o, i), F.lit(0)))
+        return F.sort_array(F.transform(p, lambda x, i: value(x, i).bitwiseAND(high).bitwiseOR(x.bitwiseAND(pos))))
+
+    def slot(h: Column, t: Column, i: Column) -> Column:
+        def digits(bin_: Column) -> Column:
+            least = F.filter(F.slice(t, i + 1, length), lambda x: F.shiftright(x, _BIN_SHIFT) == bin_)
+            kmer = F.transform(F.sort_array(F.transform(least, lambda x: x.bitwiseAND(pos))), lambda q: F.get(h, q.cast("int")))
+            return F.struct(bin_.cast("int").alias("bin"), F.lower(F.lpad(F.hex(F.xxhash64(kmer).bitwiseAND(F.lit(0xFFFF).cast("long"))), 4, "0")).alias("digits"))
+
+        return let(F.shiftright(F.get(t, i), _BIN_SHIFT), digits)
+
+    def dense(found: Column) -> Column:
+        return F.transform(F.sequence(F.lit(-BINS // 2), F.lit(BINS // 2 - 1)), lambda i: F.try_element_at(found, i))
+
+    def sketch(h: Column, t: Column) -> Column:
+        return let(F.map_from_entries(F.transform(_runs(t, lambda x: F.shiftright(x, _BIN_SHIFT)), lambda i: slot(h, t, i))), dense)
+
+    def from_hashes(h: Column) -> Column:
+        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long"))))
+        sorted_values = let(packed, lambda p: let(let(_runs(p, lambda x: F.shiftright(x, POS_BITS)), lambda s: occurrences(p, s)), lambda o: values(p, o)))
+        return F.when(F.size(h) > 0, let(sorted_values, lambda t: sketch(h, t))).otherwise(dense(F.create_map().cast("map<int,string>")))
+
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda x: x != "")
+    return let(let(words, kmer_hashes), from_hashes)
 
 
 def as_string(slots: Column) -> Column:
@@ -111,7 +129,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 4 as int))"), F.substring(F.col("head"), F.lit(1), quarter))
     both = placed.join(heads, ["no_id", "id"]).withColumn("edited", edited)
     both = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("head", "prev")
-    both = with_fingerprint(with_fingerprint(both, "text", "slots").drop("text"), "edited", "edited_slots").drop("edited")
+    both = both.withColumn("slots", slots_of(F.col("text"))).withColumn("edited_slots", slots_of(F.col("edited"))).drop("text", "edited")
     done = materialise(both.select("no_id", "id", "doc_id", "n_chars", "text_sha256", "edited_sha256", "slots", "edited_slots", "next"), "fingerprints")
     following = done.groupBy(F.col("no_id").alias("next_no_id"), F.col("id").alias("next_id")).agg(F.min_by("slots", F.struct("n_chars", "text_sha256")).alias("next_slots"))
     return done.withColumn("next_no_id", F.col("next.no_id")).withColumn("next_id", F.col("next.id")).join(following, ["next_no_id", "next_id"]).select(
