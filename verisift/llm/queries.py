@@ -7,12 +7,14 @@ from .fingerprints import op7_fingerprints
 from .language_id import op2_language_id
 from .mixing import SQL_OP4, op4_mixing
 from .packing import op8_packing
+from .substring_dedup import op5_substring_dedup
 from .url_filters import op9_url_filters
 from .warc import SQL_OP10, op10_warc
 
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_mixing": op4_mixing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
