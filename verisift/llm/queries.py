@@ -6,6 +6,7 @@ from .exact_dedup import SQL_OP6, op6_exact_dedup
 from .fingerprints import op7_fingerprints
 from .language_id import op2_language_id
 from .mixing import SQL_OP4, op4_mixing
+from .near_dedup import op3_minhash_near_dedup
 from .packing import op8_packing
 from .substring_dedup import op5_substring_dedup
 from .url_filters import op9_url_filters
@@ -13,6 +14,7 @@ from .warc import SQL_OP10, op10_warc
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
