@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ from .common import mix64, materialise, ship, table
 
 SEQUENCE = 2048
 END_ID = 1
-DIMS, BITS = 3, 10
-CACHE_WORDS = 400_000
-BUFFER_TOKENS = 4_000_000
+HASHED, DIMS, BITS = 1024, 3, 10
+CACHE_WORDS = 700_000  # entries of a worker process's cache
+BUFFER_BYTES = 4 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -41,29 +42,47 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordEncoder:
-    """ids of a text as little-endian uint16 bytes, equal to the tokenizer's encode(text, add_special_tokens=False)."""
+    """ids of texts as little-endian uint16 bytes, equal to the tokenizer's encode(text, add_special_tokens=False).
+
+    No token spans ASCII white space, so whole words are cached. New words go through the tokenizer many at a time,
+    with a control byte between them whose id says where each one stops.
+    """
+
+    MARK = b"\x01"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-
-    def encode(self, text: bytes) -> bytes:
+        (self.mark,) = self.tokenizer.encode(self.MARK.decode(), add_special_tokens=False).ids
+        self.words: dict[bytes, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[bytes]) -> None:
+        odd = [w for w in new if self.MARK in w] if any(self.MARK in w for w in new) else []
+        if odd:
+            new = list(set(new).difference(odd))
+            self.words.update(zip(odd, (x.tobytes() for x in self._ids([w.decode("utf-8", "replace") for w in odd]))))
+        blocks = [new[i:i + 1000] for i in range(0, len(new), 1000)]
+        mark = b" " + self.MARK + b" "
+        for block, ids in zip(blocks, self._ids([mark.join(b).decode("utf-8", "replace") for b in blocks])):
+            stops = (np.flatnonzero(ids == self.mark) * 2).tolist()
+            data = ids.tobytes()
+            self.words.update(zip(block, map(lambda a, b: data[a:b], [0, *(x + 2 for x in stops)], [*stops, len(data)])))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         # Lower case first merges cache entries; the tokenizer lower-cases too. Its special strings are case-sensitive.
-        words = (text if b"<|" in text else text.lower()).split()
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            new = [w for w in set(words) if w not in cache]
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                cache[w] = np.array(e.ids, dtype="<u2").tobytes()
-            return b"".join([cache[w] for w in words])
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = set().union(*split).difference(self.words) if split else set()
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words = dict(islice(self.words.items(), CACHE_WORDS // 2))  # the first come are the frequent ones
+            new = set().union(*split).difference(self.words)
+        self.learn(list(new))
+        get = self.words.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -76,10 +95,10 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def projection(n_ids: int = 1 << 16) -> np.ndarray:
-    """The signs (+1, -1) of every id in DIMS dimensions."""
-    bits = mix64(np.arange(n_ids, dtype=np.uint64) + np.uint64(0x51A7))
-    return np.stack([((bits >> np.uint64(d)) & np.uint64(1)).astype(np.float32) * 2 - 1 for d in range(DIMS)], axis=1)
+def projection() -> np.ndarray:
+    """The signs (+1, -1) of the HASHED vector places in DIMS dimensions."""
+    bits = mix64(np.arange(HASHED, dtype=np.uint64) + np.uint64(0x51A7))
+    return np.stack([((bits >> np.uint64(d)) & np.uint64(1)).astype(np.float64) * 2 - 1 for d in range(DIMS)], axis=1)
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -111,13 +130,12 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def document_points(ids: list[bytes], signs: np.ndarray) -> np.ndarray:
-    """Grid points of documents, from their id bytes."""
+    """Grid points of documents: token counts at hashed places, projected, divided by the vector's length."""
+    place = (mix64(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(HASHED)).astype(np.int32)
     out = np.zeros((len(ids), DIMS))
     for k, b in enumerate(ids):
-        counts = np.bincount(np.frombuffer(b, dtype="<u2"), minlength=1)
-        seen = np.flatnonzero(counts)
-        c = counts[seen].astype(np.float64)
-        out[k] = c @ signs[seen] / np.sqrt(c @ c)
+        counts = np.bincount(place[np.frombuffer(b, dtype="<u2")], minlength=HASHED).astype(np.float64)
+        out[k] = counts @ signs / np.sqrt(counts @ counts)
     return np.clip(((np.tanh(out * 0.8) + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
 
 
@@ -125,18 +143,17 @@ def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, signs, end = encoder(path), projection(), np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            lo, ids, held = 0, [], 0
-            for i in range(len(texts)):
-                value = texts[i].as_py()
-                ids.append(enc.encode(value or b"") + end)
-                held += len(ids[-1]) // 2
-                if held >= BUFFER_TOKENS or i == len(texts) - 1:
+            texts, lo, part, held = batch.column("text").cast(pa.large_binary()), 0, [], 0
+            for i in range(len(texts)):  # slabs of some MB of text
+                part.append(texts[i].as_py() or b"")
+                held += len(part[-1])
+                if held >= BUFFER_BYTES or i == len(texts) - 1:
+                    ids = [b + end for b in enc.encode(part)]
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("row").slice(lo, len(ids)), batch.column("doc_id").slice(lo, len(ids)), pa.array(hilbert_keys(document_points(ids, signs))), pa.array([len(b) // 2 for b in ids], pa.int64()), pa.array(ids, pa.binary())],
                         names=["row", "doc_id", "key", "n", "ids"],
                     )
-                    lo, ids, held = i + 1, [], 0
+                    lo, part, held = i + 1, [], 0
 
     return run
 
