@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, ship, table
+from .common import materialise, scratch_path, ship, shuffle_parts, table
 
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 64 << 20
@@ -269,7 +269,7 @@ def _read(folder: str, payloads: bool, strict: bool):
 def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, *, payloads: bool = False, strict: bool = True) -> DataFrame:
     """Rows of all page records of the manifest's archives; each archive is read from start to end by one task."""
     ship(spark)
-    return manifest.select("archive").repartition(F.col("archive")).mapInArrow(
+    return manifest.select("archive").repartition(shuffle_parts(spark), F.col("archive")).mapInArrow(
         _read(folder, payloads, strict), "archive string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, error string"
     )
 
