@@ -57,6 +57,10 @@ def materialise(df: DataFrame, name: str, *, options: dict[str, str] | None = No
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers (once per application)."""
+    for key, usual, bounded in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", None, str(32 << 20))):
+        key = f"spark.sql.execution.arrow.{key}"  # some MB of text in a worker at a time
+        if spark.conf.get(key, None) in (usual, str(2**31 - 1), str(2**63 - 1)):
+            spark.conf.set(key, bounded)
     sc = spark.sparkContext
     if getattr(sc, "_verisift_shipped", None) == sc.applicationId:
         return

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import SQL_OP6, op6_exact_dedup
 from .fingerprints import op7_fingerprints
 from .language_id import op2_language_id
+from .lm_scoring import op1_lm_scoring
 from .mixing import SQL_OP4, op4_mixing
 from .near_dedup import op3_minhash_near_dedup
 from .packing import op8_packing
@@ -13,6 +14,7 @@ from .url_filters import op9_url_filters
 from .warc import SQL_OP10, op10_warc
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_mixing": op4_mixing,
