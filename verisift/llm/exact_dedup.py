@@ -88,7 +88,18 @@ class DigestIndex:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtables: int = MEMTABLES) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    return grouped_rows(docs, id_col, text_col, memtables).drop("row")
+
+
+def drop_copies(docs: DataFrame, **names) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns."""
+    gone = grouped_rows(docs, **names).where(~F.col("kept")).select(F.col("row").alias("_row"))
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def grouped_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtables: int = MEMTABLES) -> DataFrame:
+    """exact_groups with ``row``, the number that monotonically_increasing_id gives to a row of ``docs``."""
     spark = docs.sparkSession
     # row_key orders by id (nulls last) and tells repeated ids apart
     base = materialise(
@@ -107,6 +118,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if bad is not None:
         out = _regroup(out, docs, bad, id_col, text_col)
     return out.select(
+        F.col("row_key.row").alias("row"),
         F.col("row_key.doc_id").alias("doc_id"),
         F.col("keep_key.doc_id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),

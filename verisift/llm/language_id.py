@@ -292,7 +292,7 @@ class _Scorer:
         return out
 
 
-def _predict(shared):
+def _predict(shared, keep_text: bool = False):
     state: list[_Scorer] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,18 +316,19 @@ def _predict(shared):
                 best = ll.argmax(axis=1)
                 post = 1 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1)
                 pred[known], score[known] = np.array(langs, dtype=object)[best[known]], post[known]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(pred, pa.string()), pa.array(score)], names=[*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+            carried = [c for c in batch.schema.names if keep_text or c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(pred, pa.string()), pa.array(score)], names=[*carried, "lang_pred", "score"])
 
     return run
 
 
-def predict(rows: DataFrame, model: LanguageModel) -> DataFrame:
+def predict(rows: DataFrame, model: LanguageModel, *, keep_text: bool = False) -> DataFrame:
     """rows: text and columns to carry. Returns those columns with lang_pred, score."""
     spark = rows.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(_predict(shared), f"{carried}, lang_pred string, score double")
+    carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep_text or f.name != "text")
+    return rows.mapInArrow(_predict(shared, keep_text), f"{carried}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, *, modulus: int = 5, remainder: int = 0) -> DataFrame:
@@ -337,6 +338,17 @@ def identify(docs: DataFrame, *, modulus: int = 5, remainder: int = 0) -> DataFr
     return predict(docs.select("doc_id", fold.alias("held_out"), F.col("text").cast("string").alias("text")), model)
 
 
+def with_language(docs: DataFrame, *, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, with their own columns, whose language is told with a posterior of ``min_score`` or more."""
+    fold = held_out(F.col(id_col), 5, 0)
+    model = fit(docs.where(~fold).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")))
+    names = [f"c{k}" for k in range(len(docs.columns))]  # no clash with the prediction's columns
+    at = docs.columns.index(text_col)
+    rows = docs.toDF(*["text" if k == at else n for k, n in enumerate(names)]).withColumn("text", F.col("text").cast("string"))
+    told = predict(rows, model, keep_text=True).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return told.drop("lang_pred", "score").toDF(*docs.columns)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of operator 2 over all of ``documents``."""
     return identify(table(spark, sf_dir, "documents"))

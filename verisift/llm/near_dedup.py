@@ -268,8 +268,8 @@ def near_duplicates(docs: DataFrame, **names) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, **names) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    kept = near_duplicates(docs, **names).where("kept").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = near_duplicates(docs, **names).where(~F.col("kept")).select(F.col("row").alias("_row"))
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
