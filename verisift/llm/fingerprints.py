@@ -120,7 +120,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     near = materialise(neighbours(ids), "neighbours")
     # the text crosses the network once, by id; its head goes on to its predecessor, at the length that is needed there
     placed = rows.join(near, ["no_id", "id"])
-    stands = F.struct(F.col("n_chars"), F.sha2(F.col("text").cast("binary"), 256))
+    # naming doc_id here, too, leaves both uses of ``placed`` with the same columns, so that they share one exchange of the texts
+    stands = F.struct(F.col("n_chars"), F.sha2(F.col("text").cast("binary"), 256), F.col("doc_id"))
     heads = placed.select(
         F.col("prev.no_id").alias("no_id"), F.col("prev.id").alias("id"),
         F.expr("substring(text, 1, cast(prev.n div 4 as int))").alias("head"), stands.alias("order"),
