@@ -7,16 +7,19 @@ executor only costs the tasks it was running.
 
 from __future__ import annotations
 
-import os
+import ctypes
+import gc
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verisift.sources.session import ship as _ship
+from verisift.sources.session import table  # noqa: F401  for the operators
+
 #: The six ASCII white-space bytes that separate words in every contract: 0x09-0x0D and 0x20.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -56,25 +59,38 @@ def materialise(df: DataFrame, name: str, *, options: dict[str, str] | None = No
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers (once per application)."""
+    """Make this package importable in the executors' Python workers, and bound what a worker holds of a batch."""
     for key, usual, bounded in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", None, str(32 << 20))):
         key = f"spark.sql.execution.arrow.{key}"  # some MB of text in a worker at a time
         if spark.conf.get(key, None) in (usual, str(2**31 - 1), str(2**63 - 1)):
             spark.conf.set(key, bounded)
-    sc = spark.sparkContext
-    if getattr(sc, "_verisift_shipped", None) == sc.applicationId:
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="verisift-src-")) / "verisift_src.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, os.path.join(top.name, p.relative_to(top)))
-    sc.addPyFile(str(target))
-    sc._verisift_shipped = sc.applicationId
+    _ship(spark)
+
+
+def _return_memory() -> None:
+    """Give freed memory back to the system: Python workers live on after a task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def tidy(run):
+    """A batch function that returns its memory when its task is done."""
+
+    def wrapped(batches):
+        try:
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # arrays above 1 MB are mapped, so freeing them frees them
+        except (OSError, AttributeError):
+            pass
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            _return_memory()
+
+    return wrapped
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -132,8 +148,6 @@ def _powers(base: np.uint64, n: int, key: str) -> np.ndarray:
 
 def binary_column(arr) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string/binary array and its n+1 offsets; nulls are empty."""
-    import pyarrow as pa
-
     if hasattr(arr, "combine_chunks"):
         arr = arr.combine_chunks()
         if hasattr(arr, "chunks"):

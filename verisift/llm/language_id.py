@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _R, held_out, materialise, mix64, ship, table
+from .common import _R, held_out, materialise, mix64, ship, table, tidy
 
 FIT_ROWS = 10_000
 EM_ROUNDS = 2
 MAX_WORD = 32
 MAX_PIECE = 12
 UNKNOWN = 1e-7
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 FLUSH_WORDS = 300_000
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -134,7 +134,7 @@ def letter_runs(text: str) -> list[str]:
     return out
 
 
-def slabs(words: list[str], most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def slabs(words: list[str], most: int = 4_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indexes and code points of equally long words, a bounded number at a time."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for length in np.unique(lengths):
@@ -232,13 +232,13 @@ def fit(labelled: DataFrame, *, fit_rows: int = FIT_ROWS, rounds: int = EM_ROUND
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))  # one row a language
     share = F.lit(float(fit_rows)) / F.col("rows")
     sample = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30))
-    words = materialise(sample.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    words = materialise(sample.select("lang", "text").mapInArrow(tidy(_count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     vocab = pieces(path)
     probs = np.full((vocab.n + 1, len(langs)), 1.0 / vocab.n)
     probs[-1] = UNKNOWN
     for _ in range(rounds if langs else 0):
-        got = words.mapInArrow(_expect(path, langs, probs), "k int, piece int, expected double").groupBy("k", "piece").agg(F.sum("expected").alias("expected")).toPandas()
+        got = words.mapInArrow(tidy(_expect(path, langs, probs)), "k int, piece int, expected double").groupBy("k", "piece").agg(F.sum("expected").alias("expected")).toPandas()
         total = np.zeros((len(langs), vocab.n + 1))
         total[got["k"].to_numpy(), got["piece"].to_numpy()] = got["expected"].to_numpy()
         total = np.round(total, 6)[:, :-1] + 0.1
@@ -328,7 +328,7 @@ def predict(rows: DataFrame, model: LanguageModel, *, keep_text: bool = False) -
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep_text or f.name != "text")
-    return rows.mapInArrow(_predict(shared, keep_text), f"{carried}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(_predict(shared, keep_text)), f"{carried}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, *, modulus: int = 5, remainder: int = 0) -> DataFrame:

@@ -7,8 +7,8 @@
    band with probability 0.8^LENGTH, so they miss all bands in less than one of 10,000 cases.
 3. Candidates. A bucket's texts are not paired with each other. Each is paired with the bucket's most central text
    (that with the fullest buckets over all bands, as the original of a group of copies has) and with the NEIGHBOURS texts before it in
-   the order of its next band's bucket. Pairs are dropped only where lengths rule out the similarity, or a 128-bin
-   min-wise estimate is below it by more than five standard deviations.
+   the order of its next band's bucket, where the star of central texts has not joined them already. Pairs are dropped only where lengths rule out the similarity, or a 256-bin
+   min-wise estimate is below it by more than 4.5 standard deviations.
 4. Banded alignment. The longest common subsequence of two labelled sequences, for positions no further apart than the similarity
    allows, is a longest increasing run of positions. similarity = matches / (n_a + n_b - matches): the Jaccard index of
    the shingles that keep their order; its complement is a metric. Links are pairs of 0.8 or more.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _GOLDEN, _R, binary_column, materialise, mix64, shingle_hashes, ship, table, word_hashes, word_spans
+from .common import _GOLDEN, _R, binary_column, materialise, mix64, shingle_hashes, ship, table, tidy, word_hashes, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -38,7 +38,7 @@ SIMILARITY = 0.8
 BANDS, LENGTH = 32, 6
 NEIGHBOURS = 8
 CHUNK = 4096  # texts of a bucket that are ordered together
-ESTIMATE_BINS = 128
+ESTIMATE_BINS = 256
 
 
 def _documents(column) -> Iterator[tuple[int, np.ndarray]]:
@@ -117,7 +117,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _likely(similarity: float):
-    """Drops pairs whose min-wise estimate is more than five standard deviations below the similarity."""
+    """Drops pairs whose min-wise estimate is more than 4.5 standard deviations below the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +125,7 @@ def _likely(similarity: float):
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("est_a", "est_b"))
             filled = ((a > 0) | (b > 0)).sum(axis=1)
-            least = similarity - 5.5 * np.sqrt(similarity * (1 - similarity) / np.maximum(filled, 1))
+            least = similarity - 4.5 * np.sqrt(similarity * (1 - similarity) / np.maximum(filled, 1))
             keep = ((a == b) & (a > 0)).sum(axis=1) >= least * filled
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
@@ -190,66 +190,76 @@ class NearDuplicates:
         self.similarity = similarity
         self.docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         id_type = self.docs.schema["doc_id"].dataType.simpleString()
-        self.sketched = materialise(self.docs.mapInArrow(_sketches, f"row long, doc_id {id_type}, key binary, n long, est binary, sigs array<long>"), "sketches")
+        self.sketched = materialise(self.docs.mapInArrow(tidy(_sketches), f"row long, doc_id {id_type}, key binary, n long, est binary, sigs array<long>"), "sketches")
         # the row that stands for all rows of a text
         self.texts = materialise(self.sketched.groupBy("key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")), "texts")
         one = self.sketched.join(self.texts.select("row"), "row").where("n > 0")
-        self.estimates = one.select("row", "n", "est")
         exploded = one.select("row", "n", "sigs", F.posexplode("sigs").alias("band", "sig")).where("sig <> 0")
         after = F.get("sigs", (F.col("band") + 1) % F.size("sigs"))
         full = exploded.groupBy("band", "sig").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         self.members = materialise(exploded.select("row", "n", "band", "sig", after.alias("after")).join(full, ["band", "sig"]), "buckets")
-
-    def first_pairs(self) -> DataFrame:
-        central = self.members.groupBy("row").agg(F.sum("m").alias("weight"))
-        pivots = self.members.join(central, "row").groupBy("band", "sig").agg(F.max(F.struct("weight", -F.col("row"), "n")).alias("p"))
-        star = self.members.join(pivots, ["band", "sig"]).select("row", "n", (-F.col("p.col2")).alias("other"), F.col("p.n").alias("other_n"))
+        # what later steps need of the texts that share a bucket with another one. Texts move by hash at every size (merge): whether
+        # a side could be broadcast would depend on the data
+        weights = self.members.groupBy("row").agg(F.sum("m").alias("weight"))
+        self.weights = materialise(weights, "weights")
+        self.estimates = materialise(one.select("row", "est").join(self.weights.select("row"), "row"), "estimates")
+        self.pool = materialise(self.docs.select("row", "text").join(self.weights.select("row").hint("merge"), "row"), "pool")
+
+    def star_pairs(self) -> DataFrame:
+        """Every text of a bucket with its most central one."""
+        pivots = self.members.join(self.weights, "row").groupBy("band", "sig").agg(F.max(F.struct("weight", -F.col("row"), "n")).alias("p"))
+        return self.members.join(pivots, ["band", "sig"]).select("row", "n", (-F.col("p.col2")).alias("other"), F.col("p.n").alias("other_n"))
+
+    def named(self, labels: DataFrame) -> DataFrame:
+        return self.members.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+
+    def beside_pairs(self, labels: DataFrame) -> DataFrame:
+        """Every text with those of other classes among the NEIGHBOURS texts before it in its bucket's order."""
         chunk = F.pmod(F.xxhash64("row"), F.floor(F.col("m") / CHUNK) + 1)
         order = Window.partitionBy("band", "sig", "chunk").orderBy("after", "row")
-        before = [F.lag(F.struct(F.col("row").alias("other"), F.col("n").alias("other_n")), k).over(order) for k in range(1, NEIGHBOURS + 1)]
-        beside = self.members.withColumn("chunk", chunk).select("row", "n", F.array_compact(F.array(*before)).alias("before")).select("row", "n", F.inline("before"))
-        return star.unionByName(beside)
+        before = [F.lag(F.struct(F.col("row").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label")), k).over(order) for k in range(1, NEIGHBOURS + 1)]
+        ordered = self.named(labels).withColumn("chunk", chunk).select("row", "n", "label", F.array_compact(F.array(*before)).alias("before"))
+        return ordered.select("row", "n", "label", F.inline("before")).where("label <> other_label").select("row", "n", "other", "other_n")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs a < b that lengths and estimates allow."""
         close = F.least("n", "other_n") >= self.similarity * F.greatest("n", "other_n")
         pairs = pairs.where((F.col("row") != F.col("other")) & close).select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
         est = lambda c: self.estimates.select(F.col("row").alias(c), F.col("est").alias(f"est_{c}"))
-        return materialise(pairs.join(est("a"), "a").join(est("b"), "b").mapInArrow(_likely(self.similarity), "a long, b long"), "pairs")
+        return materialise(pairs.join(est("a"), "a").join(est("b"), "b").mapInArrow(tidy(_likely(self.similarity)), "a long, b long"), "pairs")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Links (a, b, similarity) among the pairs."""
-        needed = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-        texts = materialise(self.docs.select("row", "text").join(needed, "row"), "pair-texts")
-        text = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
-        rows = pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
-        return materialise(rows.mapInArrow(_verify(self.similarity), "a long, b long, similarity double"), "links")
+        text = lambda c: self.pool.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
+        rows = pairs.join(text("b").hint("merge"), "b").join(text("a").hint("merge"), "a").select("a", "b", "text_a", "text_b")
+        return materialise(rows.mapInArrow(tidy(_verify(self.similarity)), "a long, b long, similarity double"), "links")
 
     def further_pairs(self, labels: DataFrame) -> DataFrame:
         """For buckets too full for the neighbour pairs that hold several classes: its most central text outside the largest
         class with every text of another class."""
-        named = self.members.where(F.col("m") > NEIGHBOURS + 1).join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-        weight = self.members.groupBy("row").agg(F.sum("m").alias("weight"))
-        per_class = named.join(weight, "row").groupBy("band", "sig", "label").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", -F.col("row"), "n")).alias("p"))
+        named = self.named(labels).where(F.col("m") > NEIGHBOURS + 1)
+        per_class = named.join(self.weights, "row").groupBy("band", "sig", "label").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", -F.col("row"), "n")).alias("p"))
         largest = per_class.groupBy("band", "sig").agg(F.max_by("label", F.struct("size", "label")).alias("big"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
         pivots = per_class.join(largest, ["band", "sig"]).where("label <> big").groupBy("band", "sig").agg(F.max(F.struct("p", "label")).alias("q"))
         return named.join(pivots, ["band", "sig"]).where(F.col("label") != F.col("q.label")).select("row", "n", (-F.col("q.p.col2")).alias("other"), F.col("q.p.n").alias("other_n"))
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """(rows with their class, links between texts)."""
-        pairs = self.likely(self.first_pairs())
-        links = self.verify(pairs)
+        tried = self.likely(self.star_pairs())
+        links = self.verify(tried)
         labels = components(links)
-        tried = pairs
-        while True:
-            more = self.likely(self.further_pairs(labels).join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.least("row", "other") == F.col("x")) & (F.greatest("row", "other") == F.col("y")), "left_anti"))
-            if not more.take(1):
-                break
-            new = self.verify(more)
-            if not new.take(1):
+        further = False
+        while True:  # ends with the first further round that finds no link
+            seen = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
+            offered = self.further_pairs(labels) if further else self.beside_pairs(labels)
+            more = self.likely(offered.join(seen, (F.least("row", "other") == F.col("x")) & (F.greatest("row", "other") == F.col("y")), "left_anti"))
+            found = self.verify(more) if more.take(1) else None
+            if found is not None and found.take(1):
+                links, tried = links.unionByName(found), tried.unionByName(more)
+                labels = components(links)
+            elif further:
                 break
-            links, tried = links.unionByName(new), tried.unionByName(more)
-            labels = components(links)
+            further = True
         by_text = self.texts.join(labels.withColumnRenamed("node", "row"), "row", "left").select("key", F.coalesce("label", "row").alias("label"))
         return materialise(self.sketched.select("row", "doc_id", "key").join(by_text, "key"), "classes"), links
 

@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, materialise, ship, table
+from .common import mix64, materialise, ship, table, tidy
 
 SEQUENCE = 2048
 END_ID = 1
 HASHED, DIMS, BITS = 1024, 3, 10
-CACHE_WORDS = 700_000  # entries of a worker process's cache
-BUFFER_BYTES = 4 << 20
+CACHE_WORDS = 600_000  # entries of a worker process's cache
+BUFFER_BYTES = 3 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -193,7 +193,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq
     id_type = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
     tokens = materialise(
         docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(_tokenise(tokenizer or tokenizer_path(), end_id), f"row long, doc_id {id_type}, key long, n long, ids binary"),
+        .mapInArrow(tidy(_tokenise(tokenizer or tokenizer_path(), end_id)), f"row long, doc_id {id_type}, key long, n long, ids binary"),
         "tokens",
     )
     ranged = materialise(tokens.select("row", "key", "n").repartitionByRange("key", "row").withColumn("part", F.spark_partition_id()), "curve")
@@ -202,7 +202,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq
     inside = F.sum("n").over(Window.partitionBy("part").orderBy("key", "row")) - F.col("n")
     places = ranged.withColumn("inside", inside).join(base, "part").select("row", (F.col("base") + F.col("inside")).alias("place"))
     return tokens.select("row", "doc_id", "ids").join(places, "row").select("doc_id", "place", "ids").mapInArrow(
-        _cut(sequence), f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+        tidy(_cut(sequence)), f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     )
 
 

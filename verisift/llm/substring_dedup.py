@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_column, materialise, shingle_hashes, ship, table, word_hashes, word_spans
+from .common import binary_column, materialise, shingle_hashes, ship, table, tidy, word_hashes, word_spans
 
 WINDOW = 35
 BATCH_ROWS = 1 << 20
@@ -175,7 +175,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     id_type = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("alive", F.lit(True))
     for k, length in enumerate(lengths):
-        found = source.where("alive").mapInArrow(_units(lengths[:k + 1], window), "h1 long, h2 int, row long, pos int, units int")
+        found = source.where("alive").mapInArrow(tidy(_units(lengths[:k + 1], window)), "h1 long, h2 int, row long, pos int, units int")
         counted = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min("pos").alias("pos"), F.min("units").alias("units"))
         # the lone units of a document (no more than its words), and how many units it has
         lone = counted.where("n = 1").groupBy("row").agg(F.collect_list("pos").alias(f"dead{k}"), F.max("units").alias("units"))
@@ -186,7 +186,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         source = source.join(lone, "row", "left").withColumn("alive", alive).drop("units")
     out = source.select("doc_id", "text", "alive", *(f"dead{k}" for k in range(len(lengths))))
     extra = ", kept_text string, removed array<struct<`from`: long, `to`: long>>" if texts else ""
-    return out.mapInArrow(_remove(lengths, window, texts), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string{extra}")
+    return out.mapInArrow(tidy(_remove(lengths, window, texts)), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string{extra}")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
