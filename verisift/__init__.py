@@ -1,0 +1 @@
+"""verisift: what files and texts really are, at DataFrame scale."""

@@ -10,7 +10,7 @@ import json
 import xml.etree.ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType
 
@@ -54,6 +54,10 @@ def head_of(content: Column) -> Column:
     return F.substring(content, 1, rules.HEAD_BYTES)
 
 
+# filters on types stay above the stage that parses: pushed below, they would repeat it
+parses_as_json, parses_as_xml, zip_names = parses_as_json.asNondeterministic(), parses_as_xml.asNondeterministic(), zip_names.asNondeterministic()
+
+
 def signature(content: Column) -> Column:
     """The first matching signature's type, or null. MKV and WebM are told apart; ZIP is not refined."""
     head = head_of(content)
@@ -84,17 +88,16 @@ def sample_of(content: Column) -> Column:
     return F.substring(decode_text(F.substring(content, 1, rules.SAMPLE_CHARS * 5)), 1, rules.SAMPLE_CHARS)
 
 
-def _json_candidate(sample: Column) -> Column:
-    """The text to parse if a sample begins like JSON, else null."""
-    s = lstrip(sample)
+def json_candidate(sample: Column, s: Column) -> Column:
+    """The text to parse if a sample begins like JSON, else null. ``s``: the sample without leading white space."""
     whole = s.startswith("{") | s.startswith("[")
-    bare = F.lower(s).isin("null", "true", "false") | s.startswith('"') | s.rlike(r"^[\p{Nd}+-]")
+    bare = F.lower(F.substring(s, 1, 6)).isin("null", "true", "false") | s.startswith('"') | s.rlike(r"^[\p{Nd}+-]")
     return F.when(whole, sample).when(bare, strip(s))
 
 
-def _xml_candidate(sample: Column) -> Column:
-    s = lstrip(sample)
-    return F.when(s.startswith("<") & ~s.startswith("<?xml") & ~F.lower(s).startswith("<!doctype") & ~F.lower(s).startswith("<html"), s)
+def xml_candidate(s: Column) -> Column:
+    low = F.lower(F.substring(s, 1, 14))
+    return F.when(s.startswith("<") & ~s.startswith("<?xml") & ~low.startswith("<!doctype") & ~low.startswith("<html"), s)
 
 
 def looks_like_csv(sample: Column) -> Column:
@@ -107,33 +110,37 @@ def looks_like_csv(sample: Column) -> Column:
     return let(split_lines(sample), lambda x: (F.size(x) >= 2) & (even(x, ",") | even(x, ";") | even(x, "\t")))
 
 
-def text_type(sample: Column, extension: Column, *, parse_json=parses_as_json, parse_xml=parses_as_xml) -> Column:
-    """Type of a text from its sample and declared extension."""
-    low = F.lower(lstrip(sample))
+def text_type(sample: Column, s: Column, extension: Column, is_json: Column, is_xml: Column) -> Column:
+    """Type of a text from its sample, the stripped sample, the declared extension and what the parsers said."""
+    low = F.lower(F.substring(s, 1, 14))
     hits = sum((F.contains(sample, F.lit(m)).cast("int") for m in rules.MARKDOWN_MARKS), F.lit(0))
     return (
-        F.when(parse_json(_json_candidate(sample)), "json")
+        F.when(is_json, "json")
         .when(low.startswith("<!doctype html") | low.startswith("<html"), "html")
         .when(extension.isin("md", "markdown") & (hits >= 1), "md")
-        .when(lstrip(sample).startswith("<?xml"), "xml")
-        .when(parse_xml(_xml_candidate(sample)), "xml")
+        .when(s.startswith("<?xml") | F.coalesce(is_xml, F.lit(False)), "xml")
         .when(looks_like_csv(sample), "csv")
         .when(hits >= 2, "md")
         .otherwise("txt")
     )
 
 
-def real_type(content: Column, extension: Column, names: Column) -> Column:
-    """The type that bytes have. ``names``: ZIP member names (null where not a ZIP)."""
-    kind = signature(content)
-    is_zip = F.substring(content, 1, 4) == F.lit(bytearray(b"PK\x03\x04"))
-    return (
-        F.when(content.isNull() | (F.length(content) == 0), "unknown")
-        .when(is_zip, container_type(F.coalesce(names, F.array().cast("array<string>"))))
-        .when(kind.isNotNull(), kind)
-        .when(~F.contains(head_of(content), F.lit(bytearray(b"\x00"))), text_type(sample_of(content), extension))
+def with_type(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
+    """Adds extension, real_type, mime and zip_names. Steps are columns: each is computed once, and the parsers' stage keeps filters above it."""
+    c, names = F.col(content), F.col("zip_names")
+    out = files.withColumn("extension", extension_of(F.col(path))).withColumn("_kind", signature(c))
+    text = F.col("_kind").isNull() & (F.length(c) > 0) & ~F.contains(head_of(c), F.lit(bytearray(b"\x00")))
+    out = out.withColumn("_sample", F.when(text, sample_of(c))).withColumn("_s", lstrip(F.col("_sample")))
+    out = out.withColumns({"zip_names": zip_names(zip_bytes(c)), "_json": parses_as_json(json_candidate(F.col("_sample"), F.col("_s"))), "_xml": parses_as_xml(xml_candidate(F.col("_s")))})
+    is_zip = F.substring(c, 1, 4) == F.lit(bytearray(b"PK\x03\x04"))
+    kind = (
+        F.when(is_zip, container_type(F.coalesce(names, F.array().cast("array<string>"))))
+        .when(F.col("_kind").isNotNull(), F.col("_kind"))
+        .when(F.col("_sample").isNotNull(), text_type(F.col("_sample"), F.col("_s"), F.col("extension"), F.col("_json"), F.col("_xml")))
         .otherwise("unknown")
     )
+    out = out.withColumn("real_type", kind).drop("_kind", "_sample", "_s", "_json", "_xml")
+    return out.withColumn("mime", mime_of(F.col("real_type")))
 
 
 def zip_bytes(content: Column) -> Column:

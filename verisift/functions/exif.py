@@ -43,7 +43,8 @@ def one_decimal_or_null(value: Column) -> Column:
 
 
 def coordinates(gps: Column) -> Column:
-    return F.concat(*[x for x in (F.format_number(gps["latitude"], "0.000000"), F.lit(", "), F.format_number(gps["longitude"], "0.000000"))])
+    six = lambda c: F.bround(c, 6).cast("decimal(20,6)").cast("string")
+    return F.concat(six(gps["latitude"]), F.lit(", "), six(gps["longitude"]))
 
 
 def maps_url(gps: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from verisift.functions import detect, rules
+from verisift.functions.detect import with_type
 from verisift.functions.text import decode_text, human_size, language, one_decimal, text_metadata
 
 STRINGS = "array<string>"
@@ -64,13 +65,6 @@ def _probe(with_metadata: bool):
 probe_type = to_arrow_type(PROBE_TYPE)
 
 
-def with_type(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
-    """Adds extension, real_type, mime and zip_names."""
-    out = files.withColumn("extension", detect.extension_of(F.col(path))).withColumn("zip_names", detect.zip_names(detect.zip_bytes(F.col(content))))
-    out = out.withColumn("real_type", detect.real_type(F.col(content), F.col("extension"), F.col("zip_names")))
-    return out.withColumn("mime", detect.mime_of(F.col("real_type")))
-
-
 def validation(content: Column, kind: Column, probe: Column) -> Column:
     """struct(errors, warnings): native rules for text, video and magic-only types, else what the probe found."""
     blank = ~decode_text(content).rlike(rules.NOT_WHITE)

@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def load_files(spark: SparkSession, path: str | list[str], *, glob: str | None = None, recursive: bool = True) -> DataFrame:
+def empty_files(spark: SparkSession, path: str, *, glob: str | None = None, recursive: bool = True) -> DataFrame:
+    """Rows of files without bytes, which the binaryFile scan leaves out. The listing is the driver's, as Spark's own is."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    listing = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, recursive)
+    found = []
+    while listing.hasNext():
+        f = listing.next()
+        if f.getLen() == 0 and (not glob or fnmatch(f.getPath().getName(), glob)):
+            found.append((f.getPath().toString(), 0, bytearray()))
+    return spark.createDataFrame(found, "path string, length bigint, content binary")
+
+
+def load_files(spark: SparkSession, path: str, *, glob: str | None = None, recursive: bool = True, with_empty: bool = True) -> DataFrame:
     """All files below a path. ``content`` is read only by plans that use it; filters on ``length`` reach the listing."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select("path", "length", "content")
+    out = reader.load(path).select("path", "length", "content")
+    return out.unionByName(empty_files(spark, path, glob=glob, recursive=recursive)) if with_empty else out
 
 
 def _plain(path: Column) -> Column:
