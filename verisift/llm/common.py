@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -93,6 +94,22 @@ def tidy(run):
     return wrapped
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """A frame whose rows get the same monotonically_increasing_id in every use: a scan of files with projections and filters
+    as it is, anything else written once (a shuffle may deal rows otherwise once columns are pruned)."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+|-]*([A-Z]\w+)", line))}
+    return df if nodes <= {"Project", "Filter", "Relation"} else materialise(df, "input")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

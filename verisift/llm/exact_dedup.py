@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialise, scratch_path, table
+from .common import SPACE_CLASS, materialise, scratch_path, stable, table, unused
 
 #: Rows of one batch are dealt over so many memtables. It bounds how often a hot digest meets in one group, not what is kept.
 MEMTABLES = 16
@@ -94,13 +94,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, **names) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    gone = grouped_rows(docs, **names).where(~F.col("kept")).select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    docs = stable(docs)
+    gone = grouped_rows(docs, **names).where(~F.col("kept")).select(F.col("row").alias(unused(docs, "_row")))
+    row = gone.columns[0]
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def grouped_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtables: int = MEMTABLES) -> DataFrame:
     """exact_groups with ``row``, the number that monotonically_increasing_id gives to a row of ``docs``."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, stable(docs)
     # row_key orders by id (nulls last) and tells repeated ids apart
     base = materialise(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).select(

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _GOLDEN, _R, binary_column, materialise, mix64, shingle_hashes, ship, table, tidy, word_hashes, word_spans
+from .common import _GOLDEN, _R, binary_column, materialise, mix64, shingle_hashes, ship, stable, table, tidy, unused, word_hashes, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -188,7 +188,7 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY):
         ship(docs.sparkSession)
         self.similarity = similarity
-        self.docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        self.docs = stable(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         id_type = self.docs.schema["doc_id"].dataType.simpleString()
         self.sketched = materialise(self.docs.mapInArrow(tidy(_sketches), f"row long, doc_id {id_type}, key binary, n long, est binary, sigs array<long>"), "sketches")
         # the row that stands for all rows of a text
@@ -278,8 +278,10 @@ def near_duplicates(docs: DataFrame, **names) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, **names) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    gone = near_duplicates(docs, **names).where(~F.col("kept")).select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    docs = stable(docs)
+    gone = near_duplicates(docs, **names).where(~F.col("kept")).select(F.col("row").alias(unused(docs, "_row")))
+    row = gone.columns[0]
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_column, materialise, shingle_hashes, ship, table, tidy, word_hashes, word_spans
+from .common import binary_column, materialise, shingle_hashes, ship, stable, table, tidy, word_hashes, word_spans
 
 WINDOW = 35
 BATCH_ROWS = 1 << 20
@@ -173,7 +173,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ship(docs.sparkSession)
     lengths = level_lengths(window, levels)
     id_type = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("alive", F.lit(True))
+    source = stable(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("alive", F.lit(True))
     for k, length in enumerate(lengths):
         found = source.where("alive").mapInArrow(tidy(_units(lengths[:k + 1], window)), "h1 long, h2 int, row long, pos int, units int")
         counted = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min("pos").alias("pos"), F.min("units").alias("units"))

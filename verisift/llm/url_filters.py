@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stable, table
 
 HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 SEGMENT_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
@@ -57,6 +57,7 @@ def validity_intervals(events: DataFrame) -> DataFrame:
 
 def filter_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
     """captures: page_id, url, fetch_date. Returns them with host, n_entries (active entries met), first_entry (smallest key), allowed."""
+    captures = stable(captures)
     hosts = captures.select("page_id", "url", F.col("fetch_date").cast("date").alias("fetch_date"), host_of(F.col("url")).alias("host")).withColumn("row", F.monotonically_increasing_id())
     probes = hosts.select("row", "fetch_date", F.trunc("fetch_date", "month").alias("month"), F.explode(F.array_distinct(lookup_keys(F.col("url"), F.col("host")))).alias("key"))
     span = captures.agg(F.min("fetch_date").cast("date").alias("lo"), F.max("fetch_date").cast("date").alias("hi"))
