@@ -81,30 +81,31 @@ def filter_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def _crc(c: Column) -> Column:
-    return F.crc32(c.cast("string").cast("binary"))
+def _number(c: Column) -> Column:
+    """The first eight hex digits of the MD5 of a value's text, which SQL knows too."""
+    return F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def derived_captures(pages: DataFrame) -> DataFrame:
     """``pages`` has no fetch times: page_id fixes one, within DAYS days of EPOCH."""
-    return pages.select("page_id", "url", F.date_add(F.lit(EPOCH).cast("date"), F.pmod(_crc(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.lit(DAYS)).cast("int")).alias("fetch_date"))
+    return pages.select("page_id", "url", F.date_add(F.lit(EPOCH).cast("date"), F.pmod(_number(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.lit(DAYS)).cast("int")).alias("fetch_date"))
 
 
 def derived_events(pages: DataFrame) -> DataFrame:
     """``pages`` has no list either: every third host, fifth parent domain and fourth host prefix was listed on a day
-    that its CRC-32 fixes; some were removed 90 days later and some of those added again after 60 more."""
+    that its MD5 fixes; some were removed 90 days later and some of those added again after 60 more."""
     host = host_of(F.col("url"))
     segment = F.regexp_extract("url", SEGMENT_PATTERN, 1)
     names = pages.select(host.alias("host"), segment.alias("segment")).where(F.col("host").isNotNull()).distinct()
     hosts = names.select("host").distinct()
     dot = F.locate(".", F.col("host"))
     listed = (
-        hosts.where(_crc(F.col("host")) % 3 == 0).select(F.lit("host").alias("scope"), F.col("host").alias("value"))
-        .unionByName(hosts.where(dot > 0).select(F.lit("domain").alias("scope"), F.substring(F.col("host"), dot + 1, F.length("host")).alias("value")).distinct().where(_crc(F.col("value")) % 5 == 0))
-        .unionByName(names.where(F.col("segment") != "").select(F.lit("prefix").alias("scope"), F.concat_ws("/", "host", "segment").alias("value")).where(_crc(F.col("value")) % 4 == 0))
+        hosts.where(_number(F.col("host")) % 3 == 0).select(F.lit("host").alias("scope"), F.col("host").alias("value"))
+        .unionByName(hosts.where(dot > 0).select(F.lit("domain").alias("scope"), F.substring(F.col("host"), dot + 1, F.length("host")).alias("value")).distinct().where(_number(F.col("value")) % 5 == 0))
+        .unionByName(names.where(F.col("segment") != "").select(F.lit("prefix").alias("scope"), F.concat_ws("/", "host", "segment").alias("value")).where(_number(F.col("value")) % 4 == 0))
     )
-    start = F.date_add(F.lit(EPOCH).cast("date"), F.pmod(_crc(F.col("value")), F.lit(300)).cast("int"))
-    kind = _crc(F.concat(F.lit("k"), F.col("value"))) % 3  # 0: stays, 1: removed, 2: removed and added again
+    start = F.date_add(F.lit(EPOCH).cast("date"), F.pmod(_number(F.col("value")), F.lit(300)).cast("int"))
+    kind = _number(F.concat(F.lit("k"), F.col("value"))) % 3  # 0: stays, 1: removed, 2: removed and added again
     steps = F.array(
         F.struct(F.lit("add").alias("action"), start.alias("on_date")),
         F.when(kind >= 1, F.struct(F.lit("remove").alias("action"), F.date_add(start, 90).alias("on_date"))),
@@ -116,4 +117,30 @@ def derived_events(pages: DataFrame) -> DataFrame:
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``pages`` against the derived list (see derived_events)."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_captures(derived_captures(pages), derived_events(pages))
+    return filter_captures(derived_captures(pages), derived_events(pages)).withColumn("fetch_date", F.col("fetch_date").cast("string"))
+
+
+_HOST = r"nullif(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '')"
+_SEGMENT = r"regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1)"
+SQL_OP9 = f"""
+WITH p AS (SELECT page_id, url, {_HOST} AS host, {_SEGMENT} AS segment, row_number() OVER () AS r FROM pages),
+cap AS (SELECT *, DATE '{EPOCH}' + CAST(CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 8) AS BIGINT) % {DAYS} AS INTEGER) AS fetch_date FROM p),
+names AS (SELECT DISTINCT host, segment FROM p WHERE host IS NOT NULL),
+raw AS (
+  SELECT DISTINCT 'host' AS scope, host AS value, 3 AS every FROM names
+  UNION ALL SELECT DISTINCT 'domain', substr(host, strpos(host, '.') + 1), 5 FROM names WHERE strpos(host, '.') > 0
+  UNION ALL SELECT DISTINCT 'prefix', host || '/' || segment, 4 FROM names WHERE segment <> ''),
+listed AS (
+  SELECT scope, value, DATE '{EPOCH}' + CAST(CAST('0x' || substr(md5(value), 1, 8) AS BIGINT) % 300 AS INTEGER) AS d, CAST('0x' || substr(md5('k' || value), 1, 8) AS BIGINT) % 3 AS kind
+  FROM raw WHERE CAST('0x' || substr(md5(value), 1, 8) AS BIGINT) % every = 0),
+spans AS (
+  SELECT scope || ':' || value AS key, d AS valid_from, CASE WHEN kind >= 1 THEN d + 90 END AS valid_to FROM listed
+  UNION ALL SELECT scope || ':' || value, d + 150, NULL FROM listed WHERE kind = 2),
+keys AS (
+  SELECT r, fetch_date, 'host:' || host AS key FROM cap WHERE host IS NOT NULL
+  UNION SELECT r, fetch_date, 'domain:' || array_to_string(l[i:], '.') FROM (SELECT r, fetch_date, string_split(host, '.') AS l, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM cap WHERE host IS NOT NULL)
+  UNION SELECT r, fetch_date, 'prefix:' || host || '/' || segment FROM cap WHERE host IS NOT NULL AND segment <> ''),
+met AS (
+  SELECT r, count(*) AS n, min(k.key) AS first_entry FROM keys k JOIN spans s ON k.key = s.key AND k.fetch_date >= s.valid_from AND (s.valid_to IS NULL OR k.fetch_date < s.valid_to) GROUP BY r)
+SELECT page_id, host, CAST(fetch_date AS VARCHAR) AS fetch_date, coalesce(n, 0) AS n_entries, first_entry, n IS NULL AS allowed FROM cap LEFT JOIN met USING (r)
+"""
