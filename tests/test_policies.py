@@ -137,3 +137,34 @@ def test_file_heads(spark, folder):
         assert (r["length"], bytes(r["head"]), r["sha256"], r["md5"]) == (len(data), data[:8], hashlib.sha256(data).hexdigest(), hashlib.md5(data).hexdigest())
     quick = spark.read.format("file_heads").option("path", str(folder)).option("hash", "false").load()
     assert quick.where("sha256 is not null").count() == 0 and quick.count() == len(got)
+
+
+def test_extra_signatures(spark):
+    from verisift.functions.detect import with_type
+
+    df = spark.createDataFrame([("a.wasm", 8, bytearray(b"\0asm\x01\0\0\0"))], "path string, length long, content binary")
+    assert with_type(df).first()["real_type"] == "unknown"
+    assert with_type(df, extra=[("wasm", [(0, b"\0asm")])]).first()["real_type"] == "wasm"
+
+
+def test_batch_with_progress(spark, folder, tmp_path):
+    from verisift.operators.batch import analyze_many
+    from verisift.sources.files import load_files
+
+    heard = []
+    results, summary = analyze_many(load_files(spark, f"file://{folder}"), f"file://{tmp_path}/out", on_progress=lambda a, b: heard.append((a, b)), every=0.01)
+    n = len(list(folder.iterdir()))
+    assert results.count() == n and (summary["total"], summary["failed"], summary["success_rate"]) == (n, 0, 1.0) and heard[-1] == (n, n)
+
+
+def test_ai_trail(spark):
+    df = spark.createDataFrame([("x",)], "t string")
+
+    def down(prompt, **_):
+        raise RuntimeError("401 no")
+
+    out = ai.call(df, F.col("t"), "s", ai.Provider("openai", "m", fallbacks=[ai.Provider("groq", "f")]), down)
+    text = out.select(ai.trail(F.col("success"), F.col("attempts"), F.col("total_duration_ms"), F.col("error"))).first()[0].split("\n")
+    assert text[0].startswith("AI call FAILED (") and text[1] == "  ✗ openai/m attempt 1 [auth] 401 no" and text[2].startswith("  ✗ groq/f [fallback] attempt 1") and text[3].startswith("  Final error: All AI providers failed")
+    with pytest.raises(Exception, match="All AI providers failed"):
+        ai.raise_if_failed(out).collect()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import xml.etree.ElementTree as ET
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,10 @@ from . import rules
 from .text import decode_text, let, lstrip, split_lines, strip
 
 
+#: (type, [(offset or None, bytes), ...]) in order of precedence
+Signatures = Sequence[tuple[str, list[tuple[int | None, bytes]]]]
+
+
 @F.arrow_udf(BooleanType())
 def parses_as_json(text: pa.Array) -> pa.Array:
     def ok(x):
@@ -58,11 +63,11 @@ def head_of(content: Column) -> Column:
 parses_as_json, parses_as_xml, zip_names = parses_as_json.asNondeterministic(), parses_as_xml.asNondeterministic(), zip_names.asNondeterministic()
 
 
-def signature(content: Column) -> Column:
-    """The first matching signature's type, or null. MKV and WebM are told apart; ZIP is not refined."""
+def signature(content: Column, extra: Signatures = ()) -> Column:
+    """The first matching signature's type, or null. MKV and WebM are told apart; ZIP is not refined. ``extra`` signatures come after the built-in ones."""
     head = head_of(content)
     out = None
-    for name, parts in rules.SIGNATURES:
+    for name, parts in [*rules.SIGNATURES, *extra]:
         tests = [F.contains(head, F.lit(bytearray(b))) if at is None else F.substring(content, at + 1, len(b)) == F.lit(bytearray(b)) for at, b in parts]
         test = tests[0]
         for t in tests[1:]:
@@ -125,10 +130,10 @@ def text_type(sample: Column, s: Column, extension: Column, is_json: Column, is_
     )
 
 
-def with_type(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
+def with_type(files: DataFrame, *, path: str = "path", content: str = "content", extra: Signatures = ()) -> DataFrame:
     """Adds extension, real_type, mime and zip_names. Steps are columns: each is computed once, and the parsers' stage keeps filters above it."""
     c, names = F.col(content), F.col("zip_names")
-    out = files.withColumn("extension", extension_of(F.col(path))).withColumn("_kind", signature(c))
+    out = files.withColumn("extension", extension_of(F.col(path))).withColumn("_kind", signature(c, extra))
     text = F.col("_kind").isNull() & (F.length(c) > 0) & ~F.contains(head_of(c), F.lit(bytearray(b"\x00")))
     out = out.withColumn("_sample", F.when(text, sample_of(c))).withColumn("_s", lstrip(F.col("_sample")))
     out = out.withColumns({"zip_names": zip_names(zip_bytes(c)), "_json": parses_as_json(json_candidate(F.col("_sample"), F.col("_s"))), "_xml": parses_as_xml(xml_candidate(F.col("_s")))})

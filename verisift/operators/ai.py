@@ -166,6 +166,25 @@ def retry_count(attempts: Column) -> Column:
     return F.greatest(F.lit(0), F.size(attempts) - 1)
 
 
+def trail(success: Column, attempts: Column, total_ms: Column, error: Column) -> Column:
+    """The readable log of a call: a head line, one line an attempt, the final error."""
+    whole = lambda x: F.rint(x).cast("long").cast("string")
+    head = F.concat(F.lit("AI call "), F.when(success, "succeeded").otherwise("FAILED"), F.lit(" ("), whole(total_ms), F.lit("ms total)"))
+
+    def line(a: Column) -> Column:
+        name = F.concat(a["provider"], F.lit("/"), a["model"], F.when(a["is_fallback"], " [fallback]").otherwise(""), F.lit(" attempt "), a["attempt_number"].cast("string"))
+        bad = F.concat(F.lit("  ✗ "), name, F.lit(" ["), F.coalesce(a["error_kind"], F.lit("unknown")), F.lit("] "), F.coalesce(a["error_message"], F.lit("")))
+        return F.when(a["succeeded"], F.concat(F.lit("  ✓ "), name, F.lit(" ("), whole(a["duration_ms"]), F.lit("ms)"))).otherwise(bad)
+
+    last = F.when(error.isNotNull(), F.array(F.concat(F.lit("  Final error: "), error))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.array(head), F.transform(attempts, line), last), "\n")
+
+
+def raise_if_failed(df: DataFrame) -> DataFrame:
+    """The rows of ``call``; reading one that failed raises its error."""
+    return df.withColumn("success", F.when(F.col("success"), F.lit(True)).otherwise(F.raise_error(F.coalesce("error", F.lit("AI call failed"))).cast("boolean")))
+
+
 def strip_fences(answer: Column) -> Column:
     """An answer without code fences around it."""
     return F.trim(F.regexp_replace(answer, r"```(?:json)?\s*|\s*```", ""))
