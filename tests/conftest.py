@@ -103,7 +103,6 @@ def tar(members: dict[str, bytes]) -> bytes:
 def exif_jpeg() -> bytes:
     """A JPEG with camera, exposure and GPS entries, and a frame header."""
     order = ">"
-    entries, blob = [], b""
 
     def directory(items, at):
         head, data = struct.pack(">H", len(items)), b""
@@ -127,7 +126,6 @@ def exif_jpeg() -> bytes:
     gps_at = exif_at + len(second)
     image = [(t, k, c, struct.pack(">I", exif_at) if t == 34665 else struct.pack(">I", gps_at) if t == 34853 else v) for t, k, c, v in image]
     block = b"MM\0*" + struct.pack(">I", 8) + directory(image, 8) + second + directory(gps, gps_at)
-    assert not entries and not blob
     app1 = b"Exif\0\0" + block
     sof = b"\x08" + struct.pack(">HHB", 4, 6, 3) + b"\x01\x11\0" * 3
     return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(app1) + 2) + app1 + b"\xff\xc0" + struct.pack(">H", len(sof) + 2) + sof + b"\xff\xda\0\x02\xff\xd9"

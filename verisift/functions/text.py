@@ -65,9 +65,9 @@ def human_size(n: Column) -> Column:
 def language(text: Column) -> Column:
     """The language whose frequent words are most frequent in the first 5,000 characters; "unknown" if there are none or the text is blank.
     A guess of our own: language libraries can't be matched exactly."""
-    head = F.lower(F.substring(text, 1, 5000))
-    counts = [F.struct(F.regexp_count(head, F.lit(rf"\b(?:{'|'.join(words)})\b")).alias("n"), F.lit(code).alias("code")) for code, words in sorted(LANGUAGE_WORDS.items(), reverse=True)]
-    return let(F.greatest(*counts), lambda best: F.when(best["n"] > 0, best["code"]).otherwise(F.lit("unknown")))
+    spaced = F.concat(F.lit("  "), F.regexp_replace(F.lower(F.substring(text, 1, 5000)), r"[^\p{L}]+", "  "), F.lit("  "))
+    counts = lambda t: [F.struct(F.regexp_count(t, F.lit(f" (?:{'|'.join(words)}) ")).alias("n"), F.lit(code).alias("code")) for code, words in LANGUAGE_WORDS.items()]
+    return let(spaced, lambda t: let(F.greatest(*counts(t)), lambda best: F.when(best["n"] > 0, best["code"]).otherwise(F.lit("unknown"))))
 
 
 def text_metadata(text: Column) -> dict[str, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verisift.functions.rules import NOT_WHITE
-from verisift.functions.text import let, strip, tokens_from_words, word_count
+from verisift.functions.text import strip, tokens_from_words, word_count
 
 CHUNK = "struct<text:string,char_start:int,char_end:int>"
 STRATEGIES = ("fixed", "sentence", "paragraph", "semantic")
@@ -80,8 +80,3 @@ def chunk_rows(df: DataFrame, text_col: str, *keep: str, strategy: str = "paragr
     out = df.select(*keep, F.posexplode(chunks(F.col(text_col), strategy, size, overlap)).alias("index", "chunk"))
     words = word_count(F.col("chunk.text"))
     return out.select(*keep, "index", "chunk.text", "chunk.char_start", "chunk.char_end", words.alias("word_count"), tokens_from_words(words).alias("token_estimate"))
-
-
-def let_chunks(text: Column, strategy: str, body, **names) -> Column:
-    """body(chunks) for use inside other expressions, with the chunks computed once."""
-    return let(chunks(text, strategy, **names), body)

@@ -96,7 +96,7 @@ def _(t, spark):
     return t("documents").select("doc_id", scaled.alias("n")).select("doc_id", "n", text.human_size(F.col("n")).alias("size_human"))
 
 
-@query("language_guess")
+@query("language_guess", oracle.LANGUAGE)
 def _(t, spark):
     return t("documents").select("doc_id", text.language(F.col("text")).alias("language"))
 

@@ -67,6 +67,10 @@ SELECT doc_id, n, {_size('n')} AS size_human
 FROM (SELECT doc_id, CAST(strlen(text) * CAST(pow(7.0, doc_id % 16) AS BIGINT) AS BIGINT) AS n FROM documents)
 """
 
+_COUNTS = ", ".join(f"struct_pack(n := len(regexp_extract_all(spaced, ' (?:{'|'.join(w)}) ')), code := '{c}')" for c, w in rules.LANGUAGE_WORDS.items())
+_SPACED = r"'  ' || regexp_replace(lower(substr(text, 1, 5000)), '[^\p{L}]+', '  ', 'g') || '  '"
+LANGUAGE = f"SELECT doc_id, CASE WHEN best.n > 0 THEN best.code ELSE 'unknown' END AS language FROM (SELECT doc_id, list_max([{_COUNTS}]) AS best FROM (SELECT doc_id, {_SPACED} AS spaced FROM documents))"
+
 # --------------------------------------------------------------------------- personal data
 
 PII_RAW = " UNION ALL ".join(
