@@ -16,6 +16,7 @@ documents with equal keys follow in row order; an empty table gives no pieces. E
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -49,6 +50,7 @@ class WordEncoder:
     """
 
     MARK = b"\x01"
+    AFTER_WORD = staticmethod(re.compile(rb"(?<=[a-z])(?=[.,])").sub)
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -74,8 +76,9 @@ class WordEncoder:
             self.words.update(zip(block, map(lambda a, b: data[a:b], [0, *(x + 2 for x in stops)], [*stops, len(data)])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        # Lower case first merges cache entries; the tokenizer lower-cases too. Its special strings are case-sensitive.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        # Lower case merges cache entries, and so does a point or comma taken from its word: the tokenizer lower-cases, too, and ends
+        # a run of letters there. Its special strings are case-sensitive.
+        split = [(t if b"<|" in t else self.AFTER_WORD(b" ", t.lower())).split() for t in texts]
         new = set().union(*split).difference(self.words) if split else set()
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words = dict(islice(self.words.items(), CACHE_WORDS // 2))  # the first come are the frequent ones
