@@ -7,7 +7,7 @@
    band with probability 0.8^LENGTH, so they miss all bands in less than one of 10,000 cases.
 3. Candidates. A bucket's texts are not paired with each other. Each is paired with the bucket's most central text
    (that with the fullest buckets over all bands, as the original of a group of copies has) and with the NEIGHBOURS texts before it in
-   the order of its next band's bucket, where the star of central texts has not joined them already. Pairs are dropped only where lengths rule out the similarity, or a 256-bin
+   the order of its next bands' buckets, where the star of central texts has not joined them already. Pairs are dropped only where lengths rule out the similarity, or a 256-bin
    min-wise estimate is below it by more than 4.5 standard deviations.
 4. Banded alignment. The longest common subsequence of two labelled sequences, for positions no further apart than the similarity
    allows, is a longest increasing run of positions. similarity = matches / (n_a + n_b - matches): the Jaccard index of
@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import _GOLDEN, _R, binary_column, materialise, mix64, shingle_hashes, ship, stable, table, tidy, unused, word_hashes, word_spans
-from .components import components
+from .components import merged
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, LENGTH = 32, 6
-NEIGHBOURS = 8
+NEIGHBOURS = 4
+ASKED = 2
 CHUNK = 4096  # texts of a bucket that are ordered together
 ESTIMATE_BINS = 256
 
@@ -195,7 +196,8 @@ class NearDuplicates:
         self.texts = materialise(self.sketched.groupBy("key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")), "texts")
         one = self.sketched.join(self.texts.select("row"), "row").where("n > 0")
         exploded = one.select("row", "n", "sigs", F.posexplode("sigs").alias("band", "sig")).where("sig <> 0")
-        after = F.get("sigs", (F.col("band") + 1) % F.size("sigs"))
+        # buckets of the next bands: texts of full buckets are ordered by them, so that likely partners stand side by side
+        after = F.struct(*[F.get("sigs", (F.col("band") + j) % F.size("sigs")).alias(f"s{j}") for j in (1, 2, 3)])
         full = exploded.groupBy("band", "sig").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         self.members = materialise(exploded.select("row", "n", "band", "sig", after.alias("after")).join(full, ["band", "sig"]), "buckets")
         # what later steps need of the texts that share a bucket with another one. Texts move by hash at every size (merge): whether
@@ -211,14 +213,16 @@ class NearDuplicates:
         return self.members.join(pivots, ["band", "sig"]).select("row", "n", (-F.col("p.col2")).alias("other"), F.col("p.n").alias("other_n"))
 
     def named(self, labels: DataFrame) -> DataFrame:
-        return self.members.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+        return self.members.join(labels.withColumnRenamed("node", "row"), "row")
 
     def beside_pairs(self, labels: DataFrame) -> DataFrame:
         """Every text with those of other classes among the NEIGHBOURS texts before it in its bucket's order."""
         chunk = F.pmod(F.xxhash64("row"), F.floor(F.col("m") / CHUNK) + 1)
         order = Window.partitionBy("band", "sig", "chunk").orderBy("after", "row")
         before = [F.lag(F.struct(F.col("row").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label")), k).over(order) for k in range(1, NEIGHBOURS + 1)]
-        ordered = self.named(labels).withColumn("chunk", chunk).select("row", "n", "label", F.array_compact(F.array(*before)).alias("before"))
+        # a bucket of NEIGHBOURS + 1 texts or fewer is compared whole; those of full buckets meet in many bands, so every other band is asked
+        asked = (F.col("m") <= NEIGHBOURS + 1) | (F.col("band") % ASKED == 0)
+        ordered = self.named(labels).where(asked).withColumn("chunk", chunk).select("row", "n", "label", F.array_compact(F.array(*before)).alias("before"))
         return ordered.select("row", "n", "label", F.inline("before")).where("label <> other_label").select("row", "n", "other", "other_n")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
@@ -245,18 +249,13 @@ class NearDuplicates:
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """(rows with their class, links between texts)."""
-        tried = self.likely(self.star_pairs())
-        links = self.verify(tried)
-        labels = components(links)
+        links = self.verify(self.likely(self.star_pairs()))
+        labels = merged(self.weights.select(F.col("row").alias("node"), F.col("row").alias("label")), links)
         further = False
-        while True:  # ends with the first further round that finds no link
-            seen = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
-            offered = self.further_pairs(labels) if further else self.beside_pairs(labels)
-            more = self.likely(offered.join(seen, (F.least("row", "other") == F.col("x")) & (F.greatest("row", "other") == F.col("y")), "left_anti"))
-            found = self.verify(more) if more.take(1) else None
-            if found is not None and found.take(1):
-                links, tried = links.unionByName(found), tried.unionByName(more)
-                labels = components(links)
+        while True:  # offered pairs are of different classes, so every link is a new one; the first further round without any is the last
+            found = self.verify(self.likely(self.further_pairs(labels) if further else self.beside_pairs(labels)))
+            if found.take(1):
+                links, labels = links.unionByName(found), merged(labels, found)
             elif further:
                 break
             further = True
