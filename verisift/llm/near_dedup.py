@@ -37,7 +37,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, LENGTH = 32, 6
 NEIGHBOURS = 4
-ASKED = 2
+ASKED = 4
 CHUNK = 4096  # texts of a bucket that are ordered together
 ESTIMATE_BINS = 256
 
@@ -220,7 +220,7 @@ class NearDuplicates:
         chunk = F.pmod(F.xxhash64("row"), F.floor(F.col("m") / CHUNK) + 1)
         order = Window.partitionBy("band", "sig", "chunk").orderBy("after", "row")
         before = [F.lag(F.struct(F.col("row").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label")), k).over(order) for k in range(1, NEIGHBOURS + 1)]
-        # a bucket of NEIGHBOURS + 1 texts or fewer is compared whole; those of full buckets meet in many bands, so every other band is asked
+        # a bucket of NEIGHBOURS + 1 texts or fewer is compared whole; those of full buckets meet in many bands, so one band in ASKED is asked
         asked = (F.col("m") <= NEIGHBOURS + 1) | (F.col("band") % ASKED == 0)
         ordered = self.named(labels).where(asked).withColumn("chunk", chunk).select("row", "n", "label", F.array_compact(F.array(*before)).alias("before"))
         return ordered.select("row", "n", "label", F.inline("before")).where("label <> other_label").select("row", "n", "other", "other_n")
@@ -249,16 +249,20 @@ class NearDuplicates:
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """(rows with their class, links between texts)."""
-        links = self.verify(self.likely(self.star_pairs()))
+        tried = self.likely(self.star_pairs())
+        links = self.verify(tried)
         labels = merged(self.weights.select(F.col("row").alias("node"), F.col("row").alias("label")), links)
         further = False
         while True:  # offered pairs are of different classes, so every link is a new one; the first further round without any is the last
-            found = self.verify(self.likely(self.further_pairs(labels) if further else self.beside_pairs(labels)))
+            offered = self.further_pairs(labels) if further else self.beside_pairs(labels)
+            seen = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
+            more = self.likely(offered.join(seen, (F.least("row", "other") == F.col("x")) & (F.greatest("row", "other") == F.col("y")), "left_anti"))
+            found = self.verify(more)
             if found.take(1):
                 links, labels = links.unionByName(found), merged(labels, found)
             elif further:
                 break
-            further = True
+            tried, further = tried.unionByName(more), True
         by_text = self.texts.join(labels.withColumnRenamed("node", "row"), "row", "left").select("key", F.coalesce("label", "row").alias("label"))
         return materialise(self.sketched.select("row", "doc_id", "key").join(by_text, "key"), "classes"), links
 
