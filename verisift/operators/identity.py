@@ -65,9 +65,9 @@ def _probe(with_metadata: bool):
 probe_type = to_arrow_type(PROBE_TYPE)
 
 
-def validation(content: Column, kind: Column, probe: Column) -> Column:
+def validation(content: Column, kind: Column, probe: Column, text: Column) -> Column:
     """struct(errors, warnings): native rules for text, video and magic-only types, else what the probe found."""
-    blank = ~decode_text(content).rlike(rules.NOT_WHITE)
+    blank = ~text.rlike(rules.NOT_WHITE)
     four, twelve = F.substring(content, 1, 4), F.substring(content, 9, 4)
     known_video = (F.substring(content, 5, 4) == F.lit(bytearray(b"ftyp"))) | (four == F.lit(bytearray(b"\x1a\x45\xdf\xa3"))) | ((four == F.lit(bytearray(b"RIFF"))) & (twelve == F.lit(bytearray(b"AVI "))))
     seven = F.substring(content, 1, 6) != F.lit(bytearray(b"7z\xbc\xaf'\x1c"))
@@ -86,9 +86,8 @@ def validation(content: Column, kind: Column, probe: Column) -> Column:
     )
 
 
-def metadata_struct(content: Column, kind: Column, probe: Column) -> Column:
+def metadata_struct(kind: Column, probe: Column, text: Column) -> Column:
     """The metadata record: text types natively, others from the probe."""
-    text = decode_text(content)
     native = {name: F.when(kind.isin(*rules.TEXT_TYPES), value) for name, value in text_metadata(text).items()}
     guessed = F.when(probe["text"].isNotNull(), F.when(probe["text"].rlike(rules.NOT_WHITE), language(probe["text"])).otherwise("unknown"))
     cols = []
@@ -131,14 +130,14 @@ def analyze(files: DataFrame, *, skip_metadata: bool = False, keep: tuple[str, .
     row, with the columns named in ``keep``. ``error`` is set only where a parser crashed."""
     if "missing" not in files.columns:
         files = files.withColumn("missing", F.lit(None).cast("string"))
-    typed = with_type(files)
+    typed = with_type(files).withColumn("_text", F.when(F.col("real_type").isin(*rules.TEXT_TYPES), decode_text(F.col("content"))))
     here = F.col("missing").isNull() & (F.col("length") > 0)
     probed = typed.withColumn("probe", _probe(not skip_metadata)(F.when(here & F.col("real_type").isin(*PROBED), F.col("content")), F.col("real_type")))
-    checked = probed.withColumn("check", validation(F.col("content"), F.col("real_type"), F.col("probe")))
+    checked = probed.withColumn("check", validation(F.col("content"), F.col("real_type"), F.col("probe"), F.col("_text")))
     if skip_metadata:
         checked = checked.withColumn("metadata", F.lit(None).cast(METADATA_TYPE))
     else:
-        checked = checked.withColumn("metadata", metadata_struct(F.col("content"), F.col("real_type"), F.col("probe")))
+        checked = checked.withColumn("metadata", metadata_struct(F.col("real_type"), F.col("probe"), F.col("_text")))
     matches = detect.extension_matches(F.col("real_type"), F.col("extension"))
     checked = checked.withColumn("matches", matches).withColumn("structure_ok", F.size("check.errors") == 0)
     wrong = F.when(~F.col("matches") & (F.col("extension") != ""), F.concat(F.lit("File is not a valid "), F.upper("extension"), F.lit(" (real type: "), F.col("real_type"), F.lit(")")))
