@@ -282,6 +282,41 @@ def test_large_group_of_near_copies(spark):
     assert {g["class_id"] for g in got if g["doc_id"] < 1000} == {0} and all(g["class_size"] == 1 for g in got if g["doc_id"] >= 1000)
 
 
+def hot_family(spark, texts=240):
+    """Texts around 0.67 to each other, a third of them with a twin of 0.8 or a little more or less; and their classes by brute force."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+
+    def edited(w, k):
+        w = w[:]
+        for j in rng.sample(range(200), k):
+            w[j] = f"n{rng.random()}"
+        return w
+
+    family = [edited(base, 4) for _ in range(texts)]
+    family += [edited(w, 4) for w in family[::3]]
+    rng.shuffle(family)
+    sets = [{tuple(w[j:j + 5]) for j in range(196)} for w in family]  # all words of a text differ, and keep their order
+    label = list(range(len(family)))
+    for i in range(len(family)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (392 - both) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(family)], "doc_id long, text string").repartition(4)
+    return docs, dict(enumerate(label))
+
+
+def classes_of(docs):
+    return {g["doc_id"]: g["class_id"] for g in near_dedup.near_duplicates(docs).collect()}
+
+
+def test_full_buckets_lose_no_link(spark):
+    docs, want = hot_family(spark)
+    assert 60 < len(want) - len(set(want.values())) and classes_of(docs) == want
+
+
 def test_sketches_follow_order():
     rng = np.random.default_rng(0)
     w = rng.integers(0, 2**63, 400).astype(np.uint64)

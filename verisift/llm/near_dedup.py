@@ -12,8 +12,10 @@
 4. Banded alignment. The longest common subsequence of two labelled sequences, for positions no further apart than the similarity
    allows, is a longest increasing run of positions. similarity = matches / (n_a + n_b - matches): the Jaccard index of
    the shingles that keep their order; its complement is a metric. Links are pairs of 0.8 or more.
-5. Components of the links are the classes. Where a bucket with more texts than NEIGHBOURS still holds several classes, further
-   rounds pair those texts with the bucket's most central text outside the largest class, until a round finds no new link.
+5. Components of the links are the classes. Where a fuller bucket still holds several classes, all of its pairs of texts of different
+   classes are compared, in blocks of bounded size, by the shingles they share, and aligned where these allow a link. So every pair of texts with a
+   bucket in common is linked, in one class already, or asked; what precedes only leaves less to compare. The work of a bucket
+   is the number of its texts times that of its texts outside the largest class.
 
 Defined cases: null or blank text has no words; all such rows are one class. Texts of under five words are one
 shingle, the whole text. Word order counts, case counts, white space doesn't. Repeated rows are copies. An empty table gives no rows. Extra
@@ -39,6 +41,7 @@ BANDS, LENGTH = 32, 6
 NEIGHBOURS = 4
 ASKED = 4
 CHUNK = 4096  # texts of a bucket that are ordered together
+BLOCK = 1 << 18  # shingles on a side of a block of a bucket that is compared whole
 ESTIMATE_BINS = 256
 
 
@@ -133,6 +136,45 @@ def _likely(similarity: float):
     return run
 
 
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The upper halves of a text's labelled shingles, each once."""
+    for batch in batches:
+        out = [np.unique((labelled(shingles(words)) >> np.uint64(32)).astype(np.uint32)).tobytes() for _, words in _documents(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], names=["row", "prints"])
+
+
+def _allowed(similarity: float):
+    """Of a block, the pairs (left, right) of different classes whose shared shingles allow the similarity."""
+
+    def run(block: pa.Table) -> pa.Table:
+        lone, n, label, outer, left = (block.column(c).to_numpy() for c in ("row", "n", "label", "outer", "left"))
+        values = [np.frombuffer(v, dtype=np.uint32) for v in block.column("prints").to_pylist()]
+        lefts, rights = np.flatnonzero(left), np.flatnonzero(~left)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(lefts) and len(rights):
+            seen, ids = np.unique(np.concatenate([values[k] for k in rights]), return_inverse=True)
+            ends = np.cumsum([len(values[k]) for k in rights])
+            has, total = np.zeros(len(seen), dtype=bool), np.zeros(len(ids) + 1, np.int64)
+            row_r, n_r, label_r, outer_r = lone[rights], n[rights], label[rights], outer[rights]
+            for k in lefts:
+                # two texts outside the largest class meet twice, in either part
+                asked = (label_r != label[k]) & (~outer_r | (row_r > lone[k])) & (np.minimum(n_r, n[k]) >= similarity * np.maximum(n_r, n[k]))
+                if not asked.any():
+                    continue
+                at = np.minimum(np.searchsorted(seen, values[k]), len(seen) - 1)
+                at = at[seen[at] == values[k]]
+                has[at] = True
+                np.cumsum(has[ids], out=total[1:])
+                has[at] = False
+                shared = np.diff(total[np.append(0, ends)]) + (n[k] - len(values[k]))  # shingles with equal prints may all be shared
+                keep = asked & (shared >= similarity * (n_r + n[k] - shared) - 1e-6)
+                a.append(np.minimum(row_r[keep], lone[k]))
+                b.append(np.maximum(row_r[keep], lone[k]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
 def longest_increasing(values: np.ndarray) -> int:
     if len(values) < 2 or (values[1:] > values[:-1]).all():
         return len(values)
@@ -238,31 +280,37 @@ class NearDuplicates:
         rows = pairs.join(text("b").hint("merge"), "b").join(text("a").hint("merge"), "a").select("a", "b", "text_a", "text_b")
         return materialise(rows.mapInArrow(tidy(_verify(self.similarity)), "a long, b long, similarity double"), "links")
 
-    def further_pairs(self, labels: DataFrame) -> DataFrame:
-        """For buckets too full for the neighbour pairs that hold several classes: its most central text outside the largest
-        class with every text of another class."""
+    def rest_pairs(self, labels: DataFrame) -> DataFrame:
+        """Distinct pairs a < b: of the buckets too full for the neighbour pairs, all pairs of different classes that may be links."""
         named = self.named(labels).where(F.col("m") > NEIGHBOURS + 1)
-        per_class = named.join(self.weights, "row").groupBy("band", "sig", "label").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", -F.col("row"), "n")).alias("p"))
-        largest = per_class.groupBy("band", "sig").agg(F.max_by("label", F.struct("size", "label")).alias("big"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-        pivots = per_class.join(largest, ["band", "sig"]).where("label <> big").groupBy("band", "sig").agg(F.max(F.struct("p", "label")).alias("q"))
-        return named.join(pivots, ["band", "sig"]).where(F.col("label") != F.col("q.label")).select("row", "n", (-F.col("q.p.col2")).alias("other"), F.col("q.p.n").alias("other_n"))
+        per_class = named.groupBy("band", "sig", "label").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("n") + 64).alias("load"))
+        largest = F.struct("size", "label")
+        buckets = per_class.groupBy("band", "sig").agg(F.max_by("label", largest).alias("big"), F.count(F.lit(1)).alias("classes"), F.sum("load").alias("load"), F.max_by("load", largest).alias("big_load")).where("classes > 1")
+        parts = lambda load: (F.floor(load / BLOCK) + 1).alias
+        buckets = buckets.select("band", "sig", "big", parts(F.col("load") - F.col("big_load"))("n_left"), parts(F.col("load"))("n_right"))
+        crowded = materialise(named.join(buckets, ["band", "sig"]).select("row", "n", "label", "band", "sig", (F.col("label") != F.col("big")).alias("outer"), "n_left", "n_right"), "crowded")
+        prints = materialise(self.pool.join(crowded.select("row").distinct().hint("merge"), "row").select("row", "text").mapInArrow(tidy(_prints), "row long, prints binary"), "prints")
+        # each text outside the largest class (left) meets every text (right): both sides are dealt into blocks, and each pair of blocks is a group
+        dealt = lambda count: F.pmod(F.xxhash64("row", "band"), count)
+        every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+        names = ["row", "n", "label", "outer", "band", "sig"]
+        left = crowded.where("outer").select(*names, dealt(F.col("n_left")).alias("l"), every("n_right").alias("r"), F.lit(True).alias("left"))
+        right = crowded.select(*names, dealt(F.col("n_right")).alias("r"), every("n_left").alias("l"), F.lit(False).alias("left"))
+        blocks = left.unionByName(right).join(prints.hint("merge"), "row")
+        return materialise(blocks.groupBy("band", "sig", "l", "r").applyInArrow(_allowed(self.similarity), "a long, b long").distinct(), "rest")
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """(rows with their class, links between texts)."""
         tried = self.likely(self.star_pairs())
         links = self.verify(tried)
         labels = merged(self.weights.select(F.col("row").alias("node"), F.col("row").alias("label")), links)
-        further = False
-        while True:  # offered pairs are of different classes, so every link is a new one; the first further round without any is the last
-            offered = self.further_pairs(labels) if further else self.beside_pairs(labels)
-            seen = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
-            more = self.likely(offered.join(seen, (F.least("row", "other") == F.col("x")) & (F.greatest("row", "other") == F.col("y")), "left_anti"))
-            found = self.verify(more)
-            if found.take(1):
-                links, labels = links.unionByName(found), merged(labels, found)
-            elif further:
-                break
-            tried, further = tried.unionByName(more), True
+        seen = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
+        beside = self.beside_pairs(labels).join(seen, (F.least("row", "other") == F.col("x")) & (F.greatest("row", "other") == F.col("y")), "left_anti")
+        found = self.verify(self.likely(beside))
+        links, labels = links.unionByName(found), merged(labels, found)
+        # pairs are of different classes, so every link is a new one; a pair of texts with a common bucket that is in two classes after this is no link
+        found = self.verify(self.rest_pairs(labels))
+        links, labels = links.unionByName(found), merged(labels, found)
         by_text = self.texts.join(labels.withColumnRenamed("node", "row"), "row", "left").select("key", F.coalesce("label", "row").alias("label"))
         return materialise(self.sketched.select("row", "doc_id", "key").join(by_text, "key"), "classes"), links
 
