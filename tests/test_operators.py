@@ -202,6 +202,31 @@ def test_inspect_and_extract_urls(spark):
     assert extract_urls(responses.where("url = 'http://h/page'"), max_chars=2).first()["warnings"] == ["Text truncated at 2 characters"]
 
 
+def test_url_extract_answers_for_every_page(spark, tmp_path):
+    """The registered query, by page id: web pages, what claims to be PDF, images, no type, CSV; every seventh fails."""
+    from verisift.plans import catalog
+
+    pages = [(i, f"https://h/{i}", f"<html><body><p>word{i} more</p></body></html>") for i in range(35)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalog.QUERIES["url_extract"](spark, str(tmp_path)).collect()
+    assert sorted(r["url"] for r in got) == sorted(u for _, u, _ in pages)
+    for r in got:
+        i = int(r["url"].rsplit("/", 1)[1])
+        mime = ("text/html", "application/pdf", "image/png", "", "text/csv")[i % 5]
+        assert (r["mime"], r["size_bytes"]) == (mime, 0 if i % 7 == 3 else len(pages[i][2]))
+        if i % 7 == 3:
+            want = ("unknown", False, "", "", [], ["HTTP 404: Not Found"])
+        elif mime == "application/pdf":  # a page that isn't a PDF has no text the PDF way
+            want = ("pdf", False, "", "", ["PDF extraction failed: no end-of-file marker or cross-reference found"], [])
+        elif mime == "image/png":
+            want = ("png", False, "", "", ["Type 'png' requires AI assistance for text extraction."], [])
+        elif mime == "text/csv":
+            want = ("csv", True, pages[i][2], "csv", [], [])
+        else:
+            want = ("html", True, f"word{i} more", "html-parser", [], [])
+        assert (r["real_type"], r["valid"], r["text"], r["extractor"], r["warnings"], r["errors"]) == want
+
+
 @pytest.mark.parametrize("n,d,said", [(1, 125, "1/125"), (2, 1, "2s"), (0, 5, None), (10, 1250, "1/125"), (5, 2, "1/0"), (2, 3, "1/2")])
 def test_shutter(spark, n, d, said):
     assert one(spark, fx.shutter(F.lit(n), F.lit(d))) == said
