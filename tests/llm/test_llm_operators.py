@@ -317,6 +317,25 @@ def test_full_buckets_lose_no_link(spark):
     assert 60 < len(want) - len(set(want.values())) and classes_of(docs) == want
 
 
+def test_central_text_without_links_ends_no_search(spark, monkeypatch):
+    """The text with the fullest buckets links to nothing (0.77 and less); two others of its buckets are links."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+
+    def edited(w, name, places):
+        return [f"{name}{j}" if j in places else x for j, x in enumerate(w)]
+
+    apart = lambda: {20 + 40 * k + rng.randrange(-15, 16) for k in range(5)}
+    texts = [base] + [edited(base, f"z{i}x", apart()) for i in range(40)]
+    twin = edited(base, "a", apart())
+    texts[20:20] = [twin, edited(twin, "b", {3})]
+    pairs = near_dedup.NearDuplicates.star_pairs
+    for name in ("star_pairs", "beside_pairs"):
+        monkeypatch.setattr(near_dedup.NearDuplicates, name, lambda self, *labels: pairs(self).where("n < 0"))
+    got = classes_of(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").coalesce(1))
+    assert got == {i: 20 if i == 21 else i for i in range(len(texts))}
+
+
 def test_sketches_follow_order():
     rng = np.random.default_rng(0)
     w = rng.integers(0, 2**63, 400).astype(np.uint64)
