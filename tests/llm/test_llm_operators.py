@@ -336,6 +336,23 @@ def test_central_text_without_links_ends_no_search(spark, monkeypatch):
     assert got == {i: 20 if i == 21 else i for i in range(len(texts))}
 
 
+def test_chunks_keep_neighbours_together(spark, monkeypatch):
+    """However many chunks a bucket is dealt into, texts that share the next band's bucket, too, stand side by side."""
+    docs, _ = hot_family(spark, 90)
+    run = near_dedup.NearDuplicates(docs)
+    buckets = defaultdict(list)
+    for r in run.members.where(f"band % {near_dedup.ASKED} = 0 and m > {near_dedup.NEIGHBOURS + 1}").collect():
+        buckets[r["band"], r["sig"]].append((tuple(r["after"]), r["row"]))
+    want = set()
+    for texts in buckets.values():
+        texts.sort()
+        for k, (after, row) in enumerate(texts):
+            want |= {(row, other) for a, other in texts[max(k - near_dedup.NEIGHBOURS, 0):k] if a[0] == after[0]}
+    monkeypatch.setattr(near_dedup, "CHUNK", 2)
+    got = run.beside_pairs(run.weights.select(F.col("row").alias("node"), F.col("row").alias("label")))
+    assert len(want) > 100 and want <= {(r["row"], r["other"]) for r in got.select("row", "other").collect()}
+
+
 def test_sketches_follow_order():
     rng = np.random.default_rng(0)
     w = rng.integers(0, 2**63, 400).astype(np.uint64)

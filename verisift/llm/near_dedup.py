@@ -259,7 +259,8 @@ class NearDuplicates:
 
     def beside_pairs(self, labels: DataFrame) -> DataFrame:
         """Every text with those of other classes among the NEIGHBOURS texts before it in its bucket's order."""
-        chunk = F.pmod(F.xxhash64("row"), F.floor(F.col("m") / CHUNK) + 1)
+        # texts that share the next band's bucket, too, are in one chunk and stand side by side there as in the whole bucket
+        chunk = F.pmod(F.xxhash64("after.s1"), F.floor(F.col("m") / CHUNK) + 1)
         order = Window.partitionBy("band", "sig", "chunk").orderBy("after", "row")
         before = [F.lag(F.struct(F.col("row").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label")), k).over(order) for k in range(1, NEIGHBOURS + 1)]
         # a bucket of NEIGHBOURS + 1 texts or fewer is compared whole; those of full buckets meet in many bands, so one band in ASKED is asked
