@@ -263,7 +263,6 @@ def test_near_duplicates(docs, rows, none):
     got = near_dedup.near_duplicates(docs).collect()
     assert Counter((g["doc_id"], g["class_id"], g["class_size"]) for g in got) == want
     assert sum(g["kept"] for g in got) == len(members)
-    assert any(g["n_links"] for g in got)
     assert near_dedup.near_duplicates(none).count() == 0
     assert near_dedup.keep_one_of_each(docs).columns == docs.columns and near_dedup.keep_one_of_each(docs).count() == len(members)
 
@@ -330,27 +329,49 @@ def test_central_text_without_links_ends_no_search(spark, monkeypatch):
     twin = edited(base, "a", apart())
     texts[20:20] = [twin, edited(twin, "b", {3})]
     pairs = near_dedup.NearDuplicates.star_pairs
-    for name in ("star_pairs", "beside_pairs"):
-        monkeypatch.setattr(near_dedup.NearDuplicates, name, lambda self, *labels: pairs(self).where("n < 0"))
+    monkeypatch.setattr(near_dedup.NearDuplicates, "star_pairs", lambda self: pairs(self).where("n < 0"))
     got = classes_of(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").coalesce(1))
     assert got == {i: 20 if i == 21 else i for i in range(len(texts))}
 
 
-def test_chunks_keep_neighbours_together(spark, monkeypatch):
-    """However many chunks a bucket is dealt into, texts that share the next band's bucket, too, stand side by side."""
-    docs, _ = hot_family(spark, 90)
+def test_packs_of_any_size_lose_no_link(spark, monkeypatch):
+    """Buckets dealt into many packs give the classes of buckets in one; the workers read PACK from the plan, not from the module."""
+    docs, want = hot_family(spark, 90)
+    monkeypatch.setattr(near_dedup, "PACK", 1500)
     run = near_dedup.NearDuplicates(docs)
-    buckets = defaultdict(list)
-    for r in run.members.where(f"band % {near_dedup.ASKED} = 0 and m > {near_dedup.NEIGHBOURS + 1}").collect():
-        buckets[r["band"], r["sig"]].append((tuple(r["after"]), r["row"]))
-    want = set()
-    for texts in buckets.values():
-        texts.sort()
-        for k, (after, row) in enumerate(texts):
-            want |= {(row, other) for a, other in texts[max(k - near_dedup.NEIGHBOURS, 0):k] if a[0] == after[0]}
-    monkeypatch.setattr(near_dedup, "CHUNK", 2)
-    got = run.beside_pairs(run.weights.select(F.col("row").alias("node"), F.col("row").alias("label")))
-    assert len(want) > 100 and want <= {(r["row"], r["other"]) for r in got.select("row", "other").collect()}
+    packs = run.packs(run.weights.select(F.col("row").alias("node"), F.col("row").alias("label")))
+    assert packs.agg(F.max("part")).first()[0] >= 2
+    assert classes_of(docs) == want
+
+
+def test_shared_counts_and_forest_against_sets(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(near_dedup, "RARE", 4)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 7)
+    draw = lambda: rng.permutation(60)[:rng.integers(0, 50)].astype(np.uint64)
+    left, right = [draw() for _ in range(12)], [draw() for _ in range(9)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+    assert near_dedup.shared_counts(left, right).tolist() == want
+    base = np.arange(100, dtype=np.uint64)
+    texts = [np.append(base[k // 4:], np.arange(1000 * k, 1000 * k + k % 9, dtype=np.uint64)) for k in range(1, 40)]
+    pack = lambda at: {"row": np.array(at), "n": np.array([len(texts[k]) for k in at]), "label": np.array(at), "shingles": [texts[k] for k in at]}
+    link = lambda a, b: near_dedup.alignment_similarity(texts[a], texts[b], 0.9) >= 0.9
+    for l, r in ((list(range(39)), None), (list(range(0, 39, 2)), list(range(1, 39, 2)))):
+        got = near_dedup.forest(pack(l), pack(r) if r else None, 0.9)
+        assert all(link(a, b) for a, b, _ in got)
+        parts = lambda edges: {frozenset(c) for c in joined(39, edges)}
+        assert parts((a, b) for a, b, _ in got) == parts((a, b) for a in l for b in (r or l) if a != b and link(a, b))
+        assert len(got) == 39 - len(joined(39, [(a, b) for a, b, _ in got]))
+
+
+def joined(n, edges):
+    classes = [{k} for k in range(n)]
+    for a, b in edges:
+        one, other = (next(c for c in classes if x in c) for x in (a, b))
+        if one is not other:
+            classes.remove(other)
+            one |= other
+    return classes
 
 
 def test_sketches_follow_order():

@@ -5,17 +5,22 @@
 2. Sketches. One 64-bit value of a labelled shingle deals it into one of BANDS sketches; a sketch takes its LENGTH smallest
    values and retains their text order; the hash of that tuple is the text's bucket in that band. Texts of similarity 0.8 agree in a given
    band with probability 0.8^LENGTH, so they miss all bands in less than one of 10,000 cases.
-3. Candidates. A bucket's texts are not paired with each other. Each is paired with the bucket's most central text
-   (that with the fullest buckets over all bands, as the original of a group of copies has) and with the NEIGHBOURS texts before it in
-   the order of its next bands' buckets, where the star of central texts has not joined them already. Pairs are dropped only where lengths rule out the similarity, or a 256-bin
-   min-wise estimate is below it by more than 4.5 standard deviations.
+3. Candidates. A bucket's texts are first paired with the bucket's most central text only (that with the fullest buckets over all bands,
+   as the original of a group of copies has). Pairs are dropped where lengths rule out the similarity, or a 256-bin min-wise estimate is
+   below it by more than 4.5 standard deviations.
 4. Banded alignment. The longest common subsequence of two labelled sequences, for positions no further apart than the similarity
    allows, is a longest increasing run of positions. similarity = matches / (n_a + n_b - matches): the Jaccard index of
    the shingles that keep their order; its complement is a metric. Links are pairs of 0.8 or more.
-5. Components of the links are the classes. Where a fuller bucket still holds several classes, all of its pairs of texts of different
-   classes are compared, in blocks of bounded size, by the shingles they share, and aligned where these allow a link. So every pair of texts with a
-   bucket in common is linked, in one class already, or asked; what precedes only leaves less to compare. The work of a bucket
-   is the number of its texts times that of its texts outside the largest class.
+5. Components of the links are the classes. Where a bucket of any size still holds several classes, all of its pairs of texts of different
+   classes are compared: the texts are gathered in packs of bounded size, those of the largest class apart from the others, and every two packs meet
+   (two of the largest class don't: their texts are one class). Two packs give a count of shared shingles for all pairs at once (frequent shingles by a
+   matrix product, rare ones by their lists); pairs whose count allows a link are aligned, unless they are of one class by then, so that a meeting
+   of packs gives a forest of links, not all of them. So every pair of texts with a bucket in common is in one class, or has been
+   compared and is no link; no bucket is cut, at any size. The work of a bucket is the number of its texts times that of its texts
+   outside the largest class.
+
+Two texts of similarity 0.8 or more that share no bucket are the only loss (step 2). Copies are told by the number of their words and two 64-bit hashes
+of the word sequence, without a look at the bytes: the exact operator is ``exact_dedup``.
 
 Defined cases: null or blank text has no words; all such rows are one class. Texts of under five words are one
 shingle, the whole text. Word order counts, case counts, white space doesn't. Repeated rows are copies. An empty table gives no rows. Extra
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _GOLDEN, _R, binary_column, materialise, mix64, shingle_hashes, ship, stable, table, tidy, unused, word_hashes, word_spans
@@ -38,10 +43,9 @@ from .components import merged
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, LENGTH = 32, 6
-NEIGHBOURS = 4
-ASKED = 4
-CHUNK = 4096  # texts of a bucket that are ordered together
-BLOCK = 1 << 18  # shingles on a side of a block of a bucket that is compared whole
+PACK = 1 << 16  # shingles of a pack of texts, on average at most
+RARE = 16  # a shingle of up to so many texts in two packs is counted by its list of texts
+COLUMNS = 1 << 11  # frequent shingles of one matrix product
 ESTIMATE_BINS = 256
 
 
@@ -136,41 +140,93 @@ def _likely(similarity: float):
     return run
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The upper halves of a text's labelled shingles, each once."""
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text's labelled shingles, in text order."""
     for batch in batches:
-        out = [np.unique((labelled(shingles(words)) >> np.uint64(32)).astype(np.uint32)).tobytes() for _, words in _documents(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], names=["row", "prints"])
-
-
-def _allowed(similarity: float):
-    """Of a block, the pairs (left, right) of different classes whose shared shingles allow the similarity."""
-
-    def run(block: pa.Table) -> pa.Table:
-        lone, n, label, outer, left = (block.column(c).to_numpy() for c in ("row", "n", "label", "outer", "left"))
-        values = [np.frombuffer(v, dtype=np.uint32) for v in block.column("prints").to_pylist()]
-        lefts, rights = np.flatnonzero(left), np.flatnonzero(~left)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(lefts) and len(rights):
-            seen, ids = np.unique(np.concatenate([values[k] for k in rights]), return_inverse=True)
-            ends = np.cumsum([len(values[k]) for k in rights])
-            has, total = np.zeros(len(seen), dtype=bool), np.zeros(len(ids) + 1, np.int64)
-            row_r, n_r, label_r, outer_r = lone[rights], n[rights], label[rights], outer[rights]
-            for k in lefts:
-                # two texts outside the largest class meet twice, in either part
-                asked = (label_r != label[k]) & (~outer_r | (row_r > lone[k])) & (np.minimum(n_r, n[k]) >= similarity * np.maximum(n_r, n[k]))
-                if not asked.any():
-                    continue
-                at = np.minimum(np.searchsorted(seen, values[k]), len(seen) - 1)
-                at = at[seen[at] == values[k]]
-                has[at] = True
-                np.cumsum(has[ids], out=total[1:])
-                has[at] = False
-                shared = np.diff(total[np.append(0, ends)]) + (n[k] - len(values[k]))  # shingles with equal prints may all be shared
-                keep = asked & (shared >= similarity * (n_r + n[k] - shared) - 1e-6)
-                a.append(np.minimum(row_r[keep], lone[k]))
-                b.append(np.maximum(row_r[keep], lone[k]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        out = [labelled(shingles(words)).tobytes() for _, words in _documents(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.large_binary())], names=["row", "shingles"])
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each of ``left`` shares with each of ``right``; the values of an array differ."""
+    values = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right), dtype=np.int32), [len(v) for v in (*left, *right)])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    times = np.diff(np.append(first, len(values)))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for t in range(2, RARE + 1):  # every list of t texts: its pairs
+        at = first[times == t]
+        if len(at):
+            lists = owner[at[:, None] + np.arange(t)]  # ascending, so texts of the left come first
+            for i in range(t - 1):
+                for j in range(i + 1, t):
+                    a, b = lists[:, i], lists[:, j]
+                    meet = (a < len(left)) & (b >= len(left))
+                    if meet.any():
+                        out += np.bincount(a[meet].astype(np.int64) * len(right) + (b[meet] - len(left)), minlength=out.size).reshape(out.shape)
+    often = np.flatnonzero(times > RARE)
+    for lo in range(0, len(often), COLUMNS):
+        block = often[lo:lo + COLUMNS]
+        reps = times[block]
+        at = np.repeat(first[block], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        has = np.zeros((len(left) + len(right), len(block)), np.float32)
+        has[owner[at], np.repeat(np.arange(len(block)), reps)] = 1
+        out += has[:len(left)] @ has[len(left):].T
+    return out
+
+
+def forest(left: dict, right: dict | None, similarity: float) -> list[tuple[int, int, float]]:
+    """Links between two packs (or inside one) that join their classes as all links between them would.
+    A pack: row, n, label (arrays), shingles (a list of arrays)."""
+    inside = right is None
+    right = left if inside else right
+    n_l, n_r = left["n"][:, None], right["n"][None, :]
+    least = np.ceil(similarity * (n_l + n_r) / (1 + similarity) - 1e-6)  # shared shingles that a link needs
+    open_ = (left["label"][:, None] != right["label"][None, :]) & (np.minimum(n_l, n_r) >= similarity * np.maximum(n_l, n_r))
+    if inside:
+        open_ &= np.tri(len(left["row"]), k=-1, dtype=bool)
+    if not open_.any():
+        return []
+    use_l, use_r = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    counts = shared_counts([left["shingles"][k] for k in use_l], [right["shingles"][k] for k in use_r])
+    i, j = np.nonzero(open_[np.ix_(use_l, use_r)] & (counts >= least[np.ix_(use_l, use_r)]))
+    best = np.argsort(-counts[i, j], kind="stable")
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    for a, b in zip(use_l[i[best]].tolist(), use_r[j[best]].tolist()):
+        la, lb = find(int(left["label"][a])), find(int(right["label"][b]))
+        if la != lb:
+            sim = alignment_similarity(left["shingles"][a], right["shingles"][b], similarity)
+            if sim >= similarity:
+                root[max(la, lb)] = min(la, lb)
+                out.append((int(left["row"][a]), int(right["row"][b]), sim))
+    return out
+
+
+def _meet(similarity: float):
+    """Rows with one or two packs (``packs``: arrays of texts) become links a < b."""
+
+    def opened(pack: pa.Array) -> dict:
+        raw, at = binary_column(pack.field("shingles"))
+        return {c: pack.field(c).to_numpy() for c in ("row", "n", "label")} | {"shingles": [raw[lo:hi].view(np.uint64) for lo, hi in zip(at, at[1:])]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                packs = [opened(p.values) for p in batch.column("packs")[k].values.field("texts")] if batch.num_rows else []
+                links = forest(packs[0], packs[1] if len(packs) > 1 else None, similarity)
+                if links:
+                    a, b, sims = zip(*links)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
 
     return run
 
@@ -237,11 +293,9 @@ class NearDuplicates:
         # the row that stands for all rows of a text
         self.texts = materialise(self.sketched.groupBy("key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")), "texts")
         one = self.sketched.join(self.texts.select("row"), "row").where("n > 0")
-        exploded = one.select("row", "n", "sigs", F.posexplode("sigs").alias("band", "sig")).where("sig <> 0")
-        # buckets of the next bands: texts of full buckets are ordered by them, so that likely partners stand side by side
-        after = F.struct(*[F.get("sigs", (F.col("band") + j) % F.size("sigs")).alias(f"s{j}") for j in (1, 2, 3)])
+        exploded = one.select("row", "n", F.posexplode("sigs").alias("band", "sig")).where("sig <> 0")
         full = exploded.groupBy("band", "sig").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        self.members = materialise(exploded.select("row", "n", "band", "sig", after.alias("after")).join(full, ["band", "sig"]), "buckets")
+        self.members = materialise(exploded.join(full, ["band", "sig"]), "buckets")
         # what later steps need of the texts that share a bucket with another one. Texts move by hash at every size (merge): whether
         # a side could be broadcast would depend on the data
         weights = self.members.groupBy("row").agg(F.sum("m").alias("weight"))
@@ -257,17 +311,6 @@ class NearDuplicates:
     def named(self, labels: DataFrame) -> DataFrame:
         return self.members.join(labels.withColumnRenamed("node", "row"), "row")
 
-    def beside_pairs(self, labels: DataFrame) -> DataFrame:
-        """Every text with those of other classes among the NEIGHBOURS texts before it in its bucket's order."""
-        # texts that share the next band's bucket, too, are in one chunk and stand side by side there as in the whole bucket
-        chunk = F.pmod(F.xxhash64("after.s1"), F.floor(F.col("m") / CHUNK) + 1)
-        order = Window.partitionBy("band", "sig", "chunk").orderBy("after", "row")
-        before = [F.lag(F.struct(F.col("row").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label")), k).over(order) for k in range(1, NEIGHBOURS + 1)]
-        # a bucket of NEIGHBOURS + 1 texts or fewer is compared whole; those of full buckets meet in many bands, so one band in ASKED is asked
-        asked = (F.col("m") <= NEIGHBOURS + 1) | (F.col("band") % ASKED == 0)
-        ordered = self.named(labels).where(asked).withColumn("chunk", chunk).select("row", "n", "label", F.array_compact(F.array(*before)).alias("before"))
-        return ordered.select("row", "n", "label", F.inline("before")).where("label <> other_label").select("row", "n", "other", "other_n")
-
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs a < b that lengths and estimates allow."""
         close = F.least("n", "other_n") >= self.similarity * F.greatest("n", "other_n")
@@ -281,51 +324,46 @@ class NearDuplicates:
         rows = pairs.join(text("b").hint("merge"), "b").join(text("a").hint("merge"), "a").select("a", "b", "text_a", "text_b")
         return materialise(rows.mapInArrow(tidy(_verify(self.similarity)), "a long, b long, similarity double"), "links")
 
-    def rest_pairs(self, labels: DataFrame) -> DataFrame:
-        """Distinct pairs a < b: of the buckets too full for the neighbour pairs, all pairs of different classes that may be links."""
-        named = self.named(labels).where(F.col("m") > NEIGHBOURS + 1)
-        per_class = named.groupBy("band", "sig", "label").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("n") + 64).alias("load"))
+    def packs(self, labels: DataFrame) -> DataFrame:
+        """Every bucket of several classes, its texts in packs: band, sig, n_big, n_rest (its packs of the largest class, of the others), outer, part, texts."""
+        # a bucket of two texts has met its central text, and so has been compared
+        named = self.named(labels).where("m > 2")
+        per_class = named.groupBy("band", "sig", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("load"))
         largest = F.struct("size", "label")
         buckets = per_class.groupBy("band", "sig").agg(F.max_by("label", largest).alias("big"), F.count(F.lit(1)).alias("classes"), F.sum("load").alias("load"), F.max_by("load", largest).alias("big_load")).where("classes > 1")
-        parts = lambda load: (F.floor(load / BLOCK) + 1).alias
-        buckets = buckets.select("band", "sig", "big", parts(F.col("load") - F.col("big_load"))("n_left"), parts(F.col("load"))("n_right"))
-        crowded = materialise(named.join(buckets, ["band", "sig"]).select("row", "n", "label", "band", "sig", (F.col("label") != F.col("big")).alias("outer"), "n_left", "n_right"), "crowded")
-        prints = materialise(self.pool.join(crowded.select("row").distinct().hint("merge"), "row").select("row", "text").mapInArrow(tidy(_prints), "row long, prints binary"), "prints")
-        # each text outside the largest class (left) meets every text (right): both sides are dealt into blocks, and each pair of blocks is a group
-        dealt = lambda count: F.pmod(F.xxhash64("row", "band"), count)
-        every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-        names = ["row", "n", "label", "outer", "band", "sig"]
-        left = crowded.where("outer").select(*names, dealt(F.col("n_left")).alias("l"), every("n_right").alias("r"), F.lit(True).alias("left"))
-        right = crowded.select(*names, dealt(F.col("n_right")).alias("r"), every("n_left").alias("l"), F.lit(False).alias("left"))
-        blocks = left.unionByName(right).join(prints.hint("merge"), "row")
-        return materialise(blocks.groupBy("band", "sig", "l", "r").applyInArrow(_allowed(self.similarity), "a long, b long").distinct(), "rest")
-
-    def classes(self) -> tuple[DataFrame, DataFrame]:
-        """(rows with their class, links between texts)."""
-        tried = self.likely(self.star_pairs())
-        links = self.verify(tried)
+        parts = lambda load: (F.floor(load / PACK) + 1).cast("int")
+        buckets = buckets.select("band", "sig", "big", parts(F.col("big_load")).alias("n_big"), parts(F.col("load") - F.col("big_load")).alias("n_rest"))
+        outer = F.col("label") != F.col("big")
+        part = F.pmod(F.xxhash64("row", "band"), F.when(outer, F.col("n_rest")).otherwise(F.col("n_big"))).cast("int")
+        crowded = materialise(named.join(buckets, ["band", "sig"]).select("row", "n", "label", "band", "sig", "n_big", "n_rest", outer.alias("outer"), part.alias("part")), "crowded")
+        sequences = materialise(self.pool.join(crowded.select("row").distinct().hint("merge"), "row").select("row", "text").mapInArrow(tidy(_sequences), "row long, shingles binary"), "sequences")
+        texts = F.collect_list(F.struct("row", "n", "label", "shingles")).alias("texts")
+        return crowded.join(sequences.hint("merge"), "row").groupBy("band", "sig", "n_big", "n_rest", "outer", "part").agg(texts)
+
+    def rest_links(self, labels: DataFrame) -> DataFrame:
+        """Links (a, b, similarity) that join the classes of every bucket as all links between its texts would."""
+        # the other packs meet each other and those of the largest class; a meeting is named by its two packs
+        rest = F.transform(F.sequence(F.lit(0), F.col("n_rest") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("l"), F.greatest(k, F.col("part")).alias("r"), F.lit(True).alias("alike")))
+        big = F.transform(F.sequence(F.lit(0), F.col("n_big") - 1), lambda k: F.struct(F.col("part").alias("l"), k.alias("r"), F.lit(False).alias("alike")))
+        with_rest = F.transform(F.sequence(F.lit(0), F.col("n_rest") - 1), lambda k: F.struct(k.alias("l"), F.col("part").alias("r"), F.lit(False).alias("alike")))
+        meetings = self.packs(labels).select("band", "sig", F.explode(F.when(F.col("outer"), F.concat(rest, big)).otherwise(with_rest)).alias("meet"), F.struct("outer", "part", "texts").alias("pack"))
+        met = meetings.groupBy("band", "sig", "meet").agg(F.collect_list("pack").alias("packs"))
+        return materialise(met.select("packs").mapInArrow(tidy(_meet(self.similarity)), "a long, b long, similarity double"), "links")
+
+    def classes(self) -> DataFrame:
+        """Rows with the class of their text: row, doc_id, key, label."""
+        links = self.verify(self.likely(self.star_pairs()))
         labels = merged(self.weights.select(F.col("row").alias("node"), F.col("row").alias("label")), links)
-        seen = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        beside = self.beside_pairs(labels).join(seen, (F.least("row", "other") == F.col("x")) & (F.greatest("row", "other") == F.col("y")), "left_anti")
-        found = self.verify(self.likely(beside))
-        links, labels = links.unionByName(found), merged(labels, found)
-        # pairs are of different classes, so every link is a new one; a pair of texts with a common bucket that is in two classes after this is no link
-        found = self.verify(self.rest_pairs(labels))
-        links, labels = links.unionByName(found), merged(labels, found)
+        labels = merged(labels, self.rest_links(labels))
         by_text = self.texts.join(labels.withColumnRenamed("node", "row"), "row", "left").select("key", F.coalesce("label", "row").alias("label"))
-        return materialise(self.sketched.select("row", "doc_id", "key").join(by_text, "key"), "classes"), links
+        return materialise(self.sketched.select("row", "doc_id", "key").join(by_text, "key"), "classes")
 
 
 def near_duplicates(docs: DataFrame, **names) -> DataFrame:
-    """One row per input row: doc_id, class_id (smallest doc_id of the class), class_size, kept (one row of each class), n_links
-    (links of the row's text to different texts)."""
-    run = NearDuplicates(docs, **names)
-    rows, links = run.classes()
+    """One row per input row: doc_id, class_id (smallest doc_id of the class), class_size, kept (one row of each class)."""
+    rows = NearDuplicates(docs, **names).classes()
     heads = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("head"))
-    degree = links.select(F.col("a").alias("row")).union(links.select("b")).groupBy("row").agg(F.count(F.lit(1)).alias("n_links")).join(run.texts, "row").select("key", "n_links")
-    return rows.join(heads, "label").join(degree, "key", "left").select(
-        "row", "doc_id", "class_id", "class_size", (F.col("row") == F.col("head.row")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    return rows.join(heads, "label").select("row", "doc_id", "class_id", "class_size", (F.col("row") == F.col("head.row")).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, **names) -> DataFrame:
