@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verisift.sources.session import qualified  # noqa: F401  for the operators
 from verisift.sources.session import ship as _ship
 from verisift.sources.session import table  # noqa: F401  for the operators
 
@@ -34,11 +35,14 @@ _GOLDEN = _U64(0x9E3779B97F4A7C15)
 # --------------------------------------------------------------------------- session helpers
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where it is unset (tests), a temp folder is set."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a temp folder; on a cluster that would
+    be another folder on each machine, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="verisift-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
