@@ -34,13 +34,12 @@ from .common import _R, held_out, materialise, mix64, ship, table, tidy
 FIT_ROWS = 10_000
 EM_ROUNDS = 2
 MAX_WORD = 32
-MAX_PIECE = 12
 UNKNOWN = 1e-7
 CACHE_WORDS = 250_000
 FLUSH_WORDS = 300_000
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")  # holds other numerals, too, such as ½
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -58,10 +57,12 @@ class Pieces:
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
-        names = sorted({p for p in (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))) if 0 < len(p) <= MAX_PIECE})
-        self.names, self.n = names, len(names)
-        self.powers = np.ones(MAX_PIECE + 1, np.uint64)
-        for i in range(1, MAX_PIECE + 1):
+        names = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+        # words are a mark and lower-case letters: no other piece can be part of one
+        names = sorted(p for p in names if p == MARK or (p[1:] if p.startswith(MARK) else p).isalpha())
+        self.names, self.n, self.longest = names, len(names), max(map(len, names))
+        self.powers = np.ones(self.longest + 1, np.uint64)
+        for i in range(1, self.longest + 1):
             self.powers[i] = np.uint64(int(self.powers[i - 1]) * int(_R) & (2**64 - 1))
         self.keys = np.zeros(1 << self.BITS, np.uint64)
         self.ids = np.full(1 << self.BITS, -1, np.int32)
@@ -103,7 +104,7 @@ class Pieces:
         """(from, to, rows, pieces) of the lattices of equally long words; piece n stands for a letter without a piece."""
         prefix, out = self.prefixes(codes), []
         for end in range(1, codes.shape[1] + 1):
-            for length in range(1, min(end, MAX_PIECE) + 1):
+            for length in range(1, min(end, self.longest) + 1):
                 ids = self.find(prefix[:, end] - prefix[:, end - length] * self.powers[length])
                 if length == 1:
                     out.append((end - 1, end, np.arange(len(ids)), np.where(ids < 0, self.n, ids)))
@@ -124,9 +125,11 @@ def pieces(path: str) -> Pieces:
 
 
 def letter_runs(text: str) -> list[str]:
-    """The words of a text, marked and cut at MAX_WORD."""
-    out = []
-    for run in _LETTERS.findall(text.lower()):
+    """The runs of letters (Unicode categories L*) of a text, marked and cut at MAX_WORD."""
+    out, runs = [], _WORDS.findall(text.lower())
+    if not "".join(runs).isalpha():
+        runs = [part for run in runs for part in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
+    for run in runs:
         while len(run) > MAX_WORD:
             out.append(MARK + run[:MAX_WORD])
             run = run[MAX_WORD:]
@@ -338,14 +341,14 @@ def identify(docs: DataFrame, *, modulus: int = 5, remainder: int = 0) -> DataFr
     return predict(docs.select("doc_id", fold.alias("held_out"), F.col("text").cast("string").alias("text")), model)
 
 
-def with_language(docs: DataFrame, *, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, with their own columns, whose language is told with a posterior of ``min_score`` or more."""
+def with_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, with their own columns, whose language is told (not ``und``): those with a letter."""
     fold = held_out(F.col(id_col), 5, 0)
     model = fit(docs.where(~fold).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")))
     names = [f"c{k}" for k in range(len(docs.columns))]  # no clash with the prediction's columns
     at = docs.columns.index(text_col)
     rows = docs.toDF(*["text" if k == at else n for k, n in enumerate(names)]).withColumn("text", F.col("text").cast("string"))
-    told = predict(rows, model, keep_text=True).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    told = predict(rows, model, keep_text=True).where(F.col("lang_pred") != "und")
     return told.drop("lang_pred", "score").toDF(*docs.columns)
 
 
