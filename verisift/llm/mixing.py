@@ -1,6 +1,6 @@
 """Mixing sources to target weights (native): hash-threshold histograms.
 
-Every row gets a 60-bit hash of its id. Sizes are summed by source and hash bucket (the hash's
+Every row gets a 60-bit hash of its id, its text and its number among rows equal in both. Sizes are summed by source and hash bucket (the hash's
 top bits); running sums over the bounded histogram name, for each source, the bucket in which its
 budget ends. Only the rows of that bucket are summed again by the next bits, and so on, until
 the last digit: the result is one hash threshold per source. Rows are then filtered by comparing
@@ -15,9 +15,9 @@ Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating, and s
 of all sizes; a target stops at ``max_repeats`` times its source's size and the excess is shared again by
 weight until none is above (water filling: target = min(cap, level * weight)).
 
-Defined cases: null text has size 0 and takes 0 words; a null source is a source of its own, last;
-rows with the same id share one hash and are told apart by their text, then counted together if that is
-equal too (all or none). A source of size 0 gets target 0. An empty table gives no rows.
+Defined cases: null text has size 0 and takes 0 words, and hashes like an empty one; a null id hashes like an empty one; a null source is a source of its own,
+last; rows of a source with the same id are told apart by their text, and rows equal in that, too, by a running number (equal rows are
+interchangeable, so which of them has which number doesn't matter, and reruns agree). A source of size 0 gets target 0. An empty table gives no rows.
 Extra columns are ignored.
 """
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialise, table
+from .common import WORD_PATTERN, materialise, stable, table
 
 DIGIT_BITS, DIGITS = 12, 5  # 60 bits of hash, five histograms at most of 4096 buckets a source
 WEIGHTS = (1, 2, 3)
@@ -37,9 +37,29 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def hash60(doc_id: Column) -> Column:
-    """The first 15 hex digits of the SHA-256 of the id as decimal text."""
-    return F.conv(F.substring(F.sha2(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"), 256), 1, 15), 16, 10).cast("long")
+def hash60(*parts: Column) -> Column:
+    """The first 15 hex digits of the SHA-256 of the parts, with a colon between them."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", *parts).cast("binary"), 256), 1, 15), 16, 10).cast("long")
+
+
+def _text_of(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def numbered(rows: DataFrame) -> DataFrame | None:
+    """``rows``: source_key, row (monotonically increasing ids), hash. Of rows that share source and hash, all but the first with the hash of
+    their running number: row, again. None where no rows do. A group is numbered inside each partition, and its partitions' counts are summed: no task holds it."""
+    key = ["source_key", "hash"]
+    repeated = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    placed = materialise(rows.join(repeated, key).select(*key, "row", F.shiftright("row", 33).alias("part")), "repeated")
+    if not placed.take(1):
+        return None
+    inside = F.row_number().over(Window.partitionBy(*key, "part").orderBy("row"))
+    parts = placed.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    number = (F.col("inside") + F.col("before") - 1).cast("long")
+    again = placed.withColumn("inside", inside).join(parts.select(*key, "part", before.alias("before")), [*key, "part"]).withColumn("number", number)
+    return materialise(again.where("number > 0").select("row", hash60(F.col("hash").cast("string"), F.col("number").cast("string")).alias("again")), "numbered")
 
 
 def ranked_sources(sources: DataFrame) -> DataFrame:
@@ -113,16 +133,23 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """Per row: doc_id, size, source_size, target, copies, taken, and the columns named in ``keep`` (as struct ``row``)."""
+    docs = stable(docs)
     narrow = [
+        F.monotonically_increasing_id().alias("row_number"),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("source_key"),
-        hash60(F.col(id_col)).alias("hash"),
+        hash60(_text_of(F.col(id_col)), F.sha2(_text_of(F.col(text_col)).cast("binary"), 256)).alias("hash"),
         words_in(F.col(text_col).cast("string")).alias("size"),
     ]
     rows = docs.select(*narrow, F.struct(*keep).alias("row")) if keep else docs.select(*narrow)
     sized = rows if keep else materialise(rows, "sized")
     summed = sized if not keep else materialise(sized.drop("row"), "sized")
+    again = numbered(summed.select("source_key", F.col("row_number").alias("row"), "hash"))
+    if again is not None:
+        renamed = again.withColumnRenamed("row", "row_number")
+        rehash = lambda df: df.join(renamed, "row_number", "left").withColumn("hash", F.coalesce("again", "hash")).drop("again")
+        sized, summed = rehash(sized), materialise(rehash(summed), "rehashed")
     per_source = summed.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     plan = with_targets(per_source, max_repeats)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -145,10 +172,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_OP4 = r"""
-WITH d AS (
+WITH d0 AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(sha256(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || sha256(coalesce(text, ''))), 1, 15) AS BIGINT) AS h1
   FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, h1) - 1 AS k FROM d0),
+d AS (SELECT *, CASE WHEN k = 0 THEN h1 ELSE CAST('0x' || substr(sha256(CAST(h1 AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 15) AS BIGINT) END AS h FROM n),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s),
 o AS (
