@@ -14,7 +14,8 @@ its archive with a row whose ``error`` is set.
 Defined cases: null html is an empty payload, null url an empty target. Payloads under 100 bytes are always
 responses. Rows with a null page_id are never referred to (a group with null ids only has responses
 only). Rows that repeat the smallest page_id of their group are all responses. Line breaks, blanks and non-ASCII bytes in a URL are
-percent-encoded in the header. An empty table gives no archives and no rows. Extra columns are ignored.
+percent-encoded in the header. An empty table gives no archives and no rows. Extra columns are ignored, whatever their names. Payloads of any
+length are written from the row's bytes and read in slices. A folder without a scheme is one of Spark's default file system.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, ship, shuffle_parts, table
+from .common import materialise, qualified, scratch_path, ship, shuffle_parts, table
 
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 64 << 20
@@ -74,7 +75,7 @@ def info_record() -> bytes:
 def _file_system(folder: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    return fs.FileSystem.from_uri(folder)
 
 
 def _write(folder: str, archive_bytes: int):
@@ -114,6 +115,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     """Writes the archives and returns the manifest: archive, records, bytes."""
     spark = pages.sparkSession
     ship(spark)
+    folder = qualified(spark, folder)
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     shared = (
@@ -207,7 +209,7 @@ def read_records(source, *, payloads: bool = False) -> Iterator[dict]:
             raise WarcError("not a WARC record")
         fields = _fields(head)
         length = fields.get("content-length", "")
-        if not length.isdigit():
+        if not (length.isascii() and length.isdigit()):
             raise WarcError("record has no Content-Length")
         block, payload, http, kept, size = hashlib.sha256(), hashlib.sha256(), b"", [], 0
         is_http, in_http = fields.get("content-type", "").startswith("application/http"), True
@@ -230,7 +232,10 @@ def read_records(source, *, payloads: bool = False) -> Iterator[dict]:
         if kind == "response" and said not in ("", "sha256:" + payload.hexdigest()):
             raise WarcError(f"payload digest of {fields.get('warc-record-id')} does not match")
         if kind == "revisit":
-            size = int(_fields(http).get("content-length", 0))
+            length = _fields(http).get("content-length", "0")
+            if not (length.isascii() and length.isdigit()):
+                raise WarcError(f"revisit {fields.get('warc-record-id')} has no length of its payload")
+            size = int(length)
         yield {"type": kind, "id": fields.get("warc-record-id", "").strip("<>"), "url": fields.get("warc-target-uri", ""), "refers_to": fields.get("warc-refers-to", "").strip("<>"), "payload_bytes": size, "payload_digest": said.removeprefix("sha256:") if said else payload.hexdigest(), "payload": b"".join(kept) if payloads else None}
 
 
@@ -269,6 +274,7 @@ def _read(folder: str, payloads: bool, strict: bool):
 def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, *, payloads: bool = False, strict: bool = True) -> DataFrame:
     """Rows of all page records of the manifest's archives; each archive is read from start to end by one task."""
     ship(spark)
+    folder = qualified(spark, folder)
     return manifest.select("archive").repartition(shuffle_parts(spark), F.col("archive")).mapInArrow(
         _read(folder, payloads, strict), "archive string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, error string"
     )
