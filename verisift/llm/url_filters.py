@@ -10,8 +10,9 @@ The as-of join is an equi-join on (key, month): intervals are cut at month borde
 captures only, so a key with a long history doesn't multiply a busy host's captures by all
 its entries; within a month a key's intervals don't overlap. AQE splits a hot host, which is on the probe side.
 
-Defined cases: a URL that is null, empty or without ``scheme://host`` has host null and is allowed; user info,
-port and trailing dots are dropped, hosts are lower-cased. Events of one entry on the same date count as one, ``remove`` last;
+Defined cases: a URL that is null, empty or without ``scheme://host`` has host null and is allowed; user info (up to the last ``@``),
+port and trailing dots are dropped, hosts are lower-cased; an IPv6 host keeps its brackets; IP addresses have no parent domains. URLs of any length are
+read whole. Extra columns are ignored, whatever their names. Events of one entry on the same date count as one, ``remove`` last;
 a ``remove`` without an ``add`` before it does nothing; entries added again while active stay active. Events with a null in any of
 their four columns are ignored. A null fetch time meets no entry. Repeated captures each get a row. Empty tables give no
 rows, or only allowed ones.
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import stable, table
 
-HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\[\]/?#@]+\]|[^\[\]/?#:@]+)(?:[:/?#]|\z)"
+ADDRESS_PATTERN = r"^(\[.*\]|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$"
 SEGMENT_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 EPOCH = "2024-01-01"
 DAYS = 365
@@ -35,8 +37,8 @@ def host_of(url: Column) -> Column:
 
 
 def lookup_keys(url: Column, host: Column) -> Column:
-    """host:h, domain:h and domain:parent for each parent, prefix:h/segment."""
-    labels = F.split(host, r"\.")
+    """host:h, domain:h and domain:parent for each parent (an IP address has none), prefix:h/segment."""
+    labels = F.when(host.rlike(ADDRESS_PATTERN), F.array(host)).otherwise(F.split(host, r"\."))
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     segment = F.regexp_extract(url, SEGMENT_PATTERN, 1)
     prefix = F.when(segment != "", F.array(F.concat(F.lit("prefix:"), host, F.lit("/"), segment))).otherwise(F.array().cast("array<string>"))
@@ -101,7 +103,7 @@ def derived_events(pages: DataFrame) -> DataFrame:
     dot = F.locate(".", F.col("host"))
     listed = (
         hosts.where(_number(F.col("host")) % 3 == 0).select(F.lit("host").alias("scope"), F.col("host").alias("value"))
-        .unionByName(hosts.where(dot > 0).select(F.lit("domain").alias("scope"), F.substring(F.col("host"), dot + 1, F.length("host")).alias("value")).distinct().where(_number(F.col("value")) % 5 == 0))
+        .unionByName(hosts.where((dot > 0) & ~F.col("host").rlike(ADDRESS_PATTERN)).select(F.lit("domain").alias("scope"), F.substring(F.col("host"), dot + 1, F.length("host")).alias("value")).distinct().where(_number(F.col("value")) % 5 == 0))
         .unionByName(names.where(F.col("segment") != "").select(F.lit("prefix").alias("scope"), F.concat_ws("/", "host", "segment").alias("value")).where(_number(F.col("value")) % 4 == 0))
     )
     start = F.date_add(F.lit(EPOCH).cast("date"), F.pmod(_number(F.col("value")), F.lit(300)).cast("int"))
@@ -115,20 +117,31 @@ def derived_events(pages: DataFrame) -> DataFrame:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of ``pages`` against the derived list (see derived_events)."""
+    """All of ``pages`` against the derived list (see derived_events). The SQL cuts hosts by string functions, not by the pattern used here."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_captures(derived_captures(pages), derived_events(pages)).withColumn("fetch_date", F.col("fetch_date").cast("string"))
 
 
-_HOST = r"nullif(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '')"
-_SEGMENT = r"regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1)"
 SQL_OP9 = f"""
-WITH p AS (SELECT page_id, url, {_HOST} AS host, {_SEGMENT} AS segment, row_number() OVER () AS r FROM pages),
+WITH u AS (SELECT page_id, url, row_number() OVER () AS r, strpos(url, '://') AS colon FROM pages),
+cut AS (
+  SELECT *, substr(url, colon + 3) AS rest, replace(replace(substr(url, colon + 3), '?', '/'), '#', '/') AS slashed FROM u
+  WHERE colon > 1 AND regexp_full_match(substr(url, 1, colon - 1), '[A-Za-z][A-Za-z0-9+.-]*')),
+parts AS (SELECT *, string_split(slashed, '/')[1] AS authority FROM cut),
+named AS (
+  SELECT *, string_split(authority, '@')[-1] AS name, substr(rest, length(authority) + 1, 1) = '/' AS pathed, string_split(slashed, '/')[2] AS first FROM parts),
+hosted AS (
+  SELECT r, CASE WHEN pathed THEN coalesce(first, '') ELSE '' END AS segment,
+         CASE WHEN starts_with(name, '[') THEN CASE WHEN strpos(name, ']') > 2 AND strpos(substr(name, 2, strpos(name, ']') - 2), '[') = 0 AND substr(name, strpos(name, ']') + 1, 1) IN ('', ':') THEN substr(name, 1, strpos(name, ']')) END
+              WHEN strpos(string_split(name, ':')[1], '[') + strpos(string_split(name, ':')[1], ']') = 0 THEN string_split(name, ':')[1] END AS name
+  FROM named),
+p AS (SELECT page_id, url, nullif(rtrim(lower(name), '.'), '') AS host, coalesce(segment, '') AS segment, r FROM u LEFT JOIN hosted USING (r)),
+ip AS (SELECT DISTINCT host FROM p WHERE starts_with(host, '[') OR (len(string_split(host, '.')) = 4 AND list_bool_and([regexp_full_match(x, '[0-9]+') FOR x IN string_split(host, '.')]))),
 cap AS (SELECT *, DATE '{EPOCH}' + CAST(CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 8) AS BIGINT) % {DAYS} AS INTEGER) AS fetch_date FROM p),
 names AS (SELECT DISTINCT host, segment FROM p WHERE host IS NOT NULL),
 raw AS (
   SELECT DISTINCT 'host' AS scope, host AS value, 3 AS every FROM names
-  UNION ALL SELECT DISTINCT 'domain', substr(host, strpos(host, '.') + 1), 5 FROM names WHERE strpos(host, '.') > 0
+  UNION ALL SELECT DISTINCT 'domain', substr(host, strpos(host, '.') + 1), 5 FROM names ANTI JOIN ip USING (host) WHERE strpos(host, '.') > 0
   UNION ALL SELECT DISTINCT 'prefix', host || '/' || segment, 4 FROM names WHERE segment <> ''),
 listed AS (
   SELECT scope, value, DATE '{EPOCH}' + CAST(CAST('0x' || substr(md5(value), 1, 8) AS BIGINT) % 300 AS INTEGER) AS d, CAST('0x' || substr(md5('k' || value), 1, 8) AS BIGINT) % 3 AS kind
@@ -138,7 +151,7 @@ spans AS (
   UNION ALL SELECT scope || ':' || value, d + 150, NULL FROM listed WHERE kind = 2),
 keys AS (
   SELECT r, fetch_date, 'host:' || host AS key FROM cap WHERE host IS NOT NULL
-  UNION SELECT r, fetch_date, 'domain:' || array_to_string(l[i:], '.') FROM (SELECT r, fetch_date, string_split(host, '.') AS l, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM cap WHERE host IS NOT NULL)
+  UNION SELECT r, fetch_date, 'domain:' || array_to_string(l[i:], '.') FROM (SELECT r, fetch_date, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT r, fetch_date, CASE WHEN host IN (SELECT host FROM ip) THEN [host] ELSE string_split(host, '.') END AS l FROM cap WHERE host IS NOT NULL))
   UNION SELECT r, fetch_date, 'prefix:' || host || '/' || segment FROM cap WHERE host IS NOT NULL AND segment <> ''),
 met AS (
   SELECT r, count(*) AS n, min(k.key) AS first_entry FROM keys k JOIN spans s ON k.key = s.key AND k.fetch_date >= s.valid_from AND (s.valid_to IS NULL OR k.fetch_date < s.valid_to) GROUP BY r)
