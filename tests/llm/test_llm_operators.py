@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verisift.llm import common, exact_dedup, fingerprints, language_id, lm_scoring, mixing, near_dedup, packing, substring_dedup, url_filters, warc
+from verisift.llm import common, exact_dedup, filters, fingerprints, language_id, lm_scoring, mixing, near_dedup, packing, substring_dedup, url_filters, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, size string, score string, _row string, `key` string"
 
@@ -103,12 +103,31 @@ def test_exact_groups(docs, rows, none):
 def test_digest_index(spark):
     entries = spark.createDataFrame([(bytearray([i % 4]), (False, i, i)) for i in range(20)], "digest binary, row_key struct<no_id:boolean,doc_id:long,row:long>")
     index = exact_dedup.DigestIndex(spark)
-    index.ingest(entries)
-    index.ingest(entries.where("row_key.doc_id < 8"))
+    index.ingest(entries, 20)
+    index.ingest(entries.where("row_key.doc_id < 8"), 8)
+    index.ingest(entries.where("row_key.doc_id = -1"), 0)
+    merge = index._merge(*index.runs[:2])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in merge and "Exchange" not in merge
+    assert index.get(b"\x02").count() == 2
     index.compact()
     got = {bytes(r["digest"])[0]: (r["row_key"]["doc_id"], r["n"]) for r in index.entries().collect()}
     assert got == {k: (k, 7) for k in range(4)}
     assert index.get(b"\x02").first()["n"] == 7 and index.get(b"\x09").count() == 0
+    index.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_run")]
+
+
+def test_filters(spark, monkeypatch):
+    keys = spark.range(0, 30_000, 3).select(F.xxhash64("id").alias("h"))
+    rows = spark.range(30_000).withColumn("_block", F.lit("clash"))
+    for most in (filters.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(filters, "BROADCAST_BYTES", most)
+        got = filters.BlockFilter(keys, 10_000).probe(rows, F.xxhash64("id"), "maybe")
+        assert got.columns == ["id", "_block", "maybe"]
+        n = {r["k"]: (r["n"], r["hits"]) for r in got.groupBy((F.col("id") % 3 == 0).alias("k")).agg(F.count("*").alias("n"), F.count(F.when(F.col("maybe"), 1)).alias("hits")).collect()}
+        assert n[True] == (10_000, 10_000) and n[False][0] == 20_000 and n[False][1] < 1000
+    none = filters.BlockFilter(keys.where("false"), 0).probe(rows, F.xxhash64("id"), "maybe")
+    assert none.where("maybe").count() == 0
 
 
 def test_collisions_are_grouped_by_bytes(spark, docs, monkeypatch):

@@ -37,8 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _GOLDEN, _R, binary_column, materialise, mix64, shingle_hashes, ship, stable, table, tidy, unused, word_hashes, word_spans
+from .common import _GOLDEN, _R, binary_column, materialise, mix64, shingle_hashes, ship, stable, table, tidy, word_hashes, word_spans
 from .components import merged
+from .filters import without_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -369,9 +370,7 @@ def near_duplicates(docs: DataFrame, **names) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, **names) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
     docs = stable(docs)
-    gone = near_duplicates(docs, **names).where(~F.col("kept")).select(F.col("row").alias(unused(docs, "_row")))
-    row = gone.columns[0]
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without_rows(docs, near_duplicates(docs, **names).where(~F.col("kept")).select("row"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
