@@ -214,13 +214,28 @@ def brute_repeats(rows, window):
         yield gone
 
 
-@pytest.mark.parametrize("levels", [1, 2, 3])
+def windows_that_repeat(rows):
+    counts = Counter(tuple(w[j:j + 35]) for w in (words(r[1]) for r in rows) for j in range(len(w) - 34))
+    return sum(n for n in counts.values() if n > 1)
+
+
+def test_search_ends_where_nothing_survives(spark):
+    data = [(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(8)]
+    report = []
+    got = substring_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), report=report).collect()
+    assert report == [(5, 0, 0)] and all((g["n_words"], g["n_removed"]) == (60, 0) for g in got) and len(got) == 8
+
+
+@pytest.mark.parametrize("levels", [1, 2, 4])
 def test_substring_dedup(docs, rows, none, levels):
     want = Counter()
     for r, gone in zip(rows, brute_repeats([words(r[1]) for r in rows], 35)):
         kept = b" ".join(w for w, g in zip(words(r[1]), gone) if not g)
         want[r[0], len(gone), sum(gone), hashlib.sha256(kept).hexdigest()] += 1
-    got = substring_dedup.remove_repeats(docs, levels=levels, texts=True).collect()
+    report = []
+    got = substring_dedup.remove_repeats(docs, levels=levels, texts=True, report=report).collect()
+    assert [r[0] for r in report] == {1: [35], 2: [18, 35], 4: [5, 9, 18, 35]}[levels]
+    assert [r[1:] for r in report] == sorted((r[1:] for r in report), reverse=True) and report[-1][2] == windows_that_repeat(rows)
     assert Counter((g["doc_id"], g["n_words"], g["n_removed"], g["kept_sha256"]) for g in got) == want
     assert all(sum(s["to"] - s["from"] for s in g["removed"]) == g["n_removed"] and hashlib.sha256(g["kept_text"].encode()).hexdigest() == g["kept_sha256"] for g in got)
     assert substring_dedup.remove_repeats(none).count() == 0

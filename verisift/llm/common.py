@@ -141,6 +141,7 @@ def _byte_table(seed: int) -> np.ndarray:
 
 
 _TABLE = _byte_table(0x5EED)
+OTHER_TABLE = _byte_table(0xD1CE)  # for a second hash of the same bytes
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -203,7 +204,7 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets, side="left")
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, lower: bool = False) -> np.ndarray:
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, lower: bool = False, table: np.ndarray = _TABLE) -> np.ndarray:
     """A 64-bit hash of each word: a polynomial over random byte values, taken from prefix sums, then mixed."""
     if len(starts) == 0:
         return np.zeros(0, _U64)
@@ -216,7 +217,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, lower:
         hi = max(hi, lo + 1)
         stop = int(ends[hi - 1])
         piece = raw[base:stop]
-        vals = _TABLE[_LOWER[piece] if lower else piece]
+        vals = table[_LOWER[piece] if lower else piece]
         prefix = np.empty(len(piece) + 1, _U64)
         prefix[0] = 0
         np.cumsum(vals * _powers(_R, len(piece), "r")[:len(piece)], out=prefix[1:])

@@ -9,7 +9,7 @@ from .lm_scoring import op1_lm_scoring
 from .mixing import SQL_OP4, op4_mixing
 from .near_dedup import op3_minhash_near_dedup
 from .packing import op8_packing
-from .substring_dedup import op5_substring_dedup
+from .substring_dedup import SQL_OP5, op5_substring_dedup
 from .url_filters import SQL_OP9, op9_url_filters
 from .warc import SQL_OP10, op10_warc
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_warc": op10_warc,
 }
-ORACLE_SQL = {"op4_mixing": SQL_OP4, "op6_exact_dedup": SQL_OP6, "op9_url_filters": SQL_OP9, "op10_warc": SQL_OP10}
+ORACLE_SQL = {"op4_mixing": SQL_OP4, "op5_substring_dedup": SQL_OP5, "op6_exact_dedup": SQL_OP6, "op9_url_filters": SQL_OP9, "op10_warc": SQL_OP10}

@@ -4,20 +4,21 @@ A word is removed when a window of WINDOW consecutive words of one document cove
 starts anywhere else. Windows that occur once at one length cannot repeat at a longer one, so each level only extends what
 repeated at the level before:
 
-* A level of length L below WINDOW looks at *anchors*: of all L-windows inside a WINDOW-window, the one with the smallest
+* A level of length L below WINDOW looks at *anchors*: of all L-windows inside a WINDOW-window, the leftmost with the smallest
   hash. Equal windows have equal anchors, so an anchor that stands alone rules out every window that it anchors. Anchors
   are a small part of all positions (about 2 / (WINDOW - L + 2)).
-* Windows whose anchor repeated are extended to twice the length (WINDOW at most), and so on; the level of WINDOW itself decides
-  about every single surviving window. A level ends the search where no candidate survives.
+* Windows whose anchor repeated survive. They go on, as runs of word hashes, to a level of twice the length (5, 9, 18, 35; LEVELS),
+  and so on until no candidate survives or the level of WINDOW itself has decided about every single surviving window.
 
 Counting needs no join back and no group in one place: a hash's rows are summed with partial aggregation, carrying the least row
 and position. Where the sum is 1 these *are* the lone occurrence, which goes back to its document. Frequent passages
-collapse before the shuffle. Texts cross the network once, with the exchange reused by each level. The last level compares
-96 bits of two independent hashes; earlier levels only choose candidates.
+collapse before the shuffle. Of the texts, only those with a candidate after the first level and those that lose words cross the network,
+once each: the others stop at a filter of row numbers. Later levels read the survivors' runs alone. The last level compares 64 bits of one hash
+of the words' bytes and 32 of another, independent one; earlier levels only choose candidates.
 
 Defined cases: null text has no words; documents with fewer words than WINDOW lose nothing; repeated rows are documents of their own
-(all their windows repeat); all kept or no kept words: kept_sha256 is that of the joined or the empty string. An empty table gives no rows.
-Extra columns are ignored.
+(all their windows repeat); all kept or no kept words: kept_sha256 is that of the joined or the empty string. Texts of any length are read whole. An
+empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,66 +31,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_column, materialise, shingle_hashes, ship, stable, table, tidy, word_hashes, word_spans
+from .common import OTHER_TABLE, binary_column, materialise, shingle_hashes, ship, stable, table, tidy, word_hashes, word_spans
+from .filters import BlockFilter
 
 WINDOW = 35
+LEVELS = 4
 BATCH_ROWS = 1 << 20
+MARKER = -1  # position of the unit that each document with a window has besides its own: it is always alone, so that the document is in the count of lone units
 
 
-def level_lengths(window: int = WINDOW, levels: int = 2) -> list[int]:
-    """Rising lengths, each at most twice the one before, ending with the window: 35 -> [18, 35]."""
+def level_lengths(window: int = WINDOW, levels: int = LEVELS) -> list[int]:
+    """Rising lengths, each at most twice the one before, ending with the window: 35 -> [5, 9, 18, 35]."""
     out = [window]
-    for _ in range(levels - 1):
+    while len(out) < levels and out[0] > 1:
         out.insert(0, -(-out[0] // 2))
     return out
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every run of ``width`` values, by doubling."""
-    out, have = values, 1
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Position of the smallest of every run of ``width`` values, the leftmost of equal ones, by doubling."""
+    at, have = np.arange(len(values)), 1
     while have < width:
         step = min(have, width - have)
-        out = np.minimum(out[:-step], out[step:])
+        left, right = at[:-step], at[step:]
+        at = np.where(values[right] < values[left], right, left)
         have += step
-    return out
+    return at
 
 
 def window_anchors(words: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of a document the position of its anchor; and the hashes of all runs of ``length`` words."""
+    """For each window of a run of words the position of its anchor; and the hashes of all runs of ``length`` words."""
     hashes = shingle_hashes(words, length, seed=length)
     if len(words) < window:
         return np.zeros(0, np.int64), hashes
-    place = np.arange(len(hashes), dtype=np.uint64)
-    bits = np.uint64(max(1, int(len(hashes)).bit_length()))
-    keyed = ((hashes >> bits) << bits) | place  # the leftmost of equal ones
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    return (sliding_min(keyed, window - length + 1) & low).astype(np.int64), hashes
+    return sliding_argmin(hashes, window - length + 1), hashes
 
 
-def _split(column) -> Iterator[tuple[int, np.ndarray]]:
-    """(row in batch, word hashes) of each text."""
-    raw, offsets = binary_column(column)
+def _from_texts(batch: pa.RecordBatch, window: int, twice: bool):
+    """(row in batch, runs) of each text with a window; it is one run: position, word hashes, and second hashes if ``twice``."""
+    raw, offsets = binary_column(batch.column("text"))
     starts, ends, at = word_spans(raw, offsets)
     hashes = word_hashes(raw, starts, ends)
-    for i in range(len(at) - 1):
-        yield i, hashes[at[i]:at[i + 1]]
+    second = word_hashes(raw, starts, ends, table=OTHER_TABLE).astype(np.uint32) if twice else hashes
+    for i in np.flatnonzero(np.diff(at) >= window).tolist():
+        yield i, [(0, hashes[at[i]:at[i + 1]], second[at[i]:at[i + 1]])]
+
+
+def _from_runs(batch: pa.RecordBatch, window: int, twice: bool):
+    """The same from survivors."""
+    at, size, words, second = (_lists(batch.column(c)) for c in ("at", "size", "words", "second"))
+    for i in range(batch.num_rows):
+        cut = np.cumsum(size(i))[:-1]
+        yield i, list(zip(at(i).tolist(), np.split(words(i).view(np.uint64), cut), np.split(second(i).view(np.uint32), cut)))
 
 
-def candidates(words: np.ndarray, lengths: list[int], dead: list[np.ndarray], window: int) -> np.ndarray:
-    """The windows whose anchors at the levels so far all repeat."""
-    out = np.ones(max(0, len(words) - window + 1), dtype=bool)
-    for length, lone in zip(lengths, dead):
-        if out.any():
-            out &= ~np.isin(window_anchors(words, length, window)[0], lone)
-    return np.flatnonzero(out)
+def _lists(column):
+    """row -> numpy array of a list column; null is empty."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    offsets = column.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    return lambda i: values[offsets[i]:offsets[i + 1]]
 
 
 _UNIT = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("row", pa.int64()), ("pos", pa.int32()), ("units", pa.int32())])
 
 
-def _units(lengths: list[int], window: int):
-    """Rows (hash, row, position) of the level lengths[-1]; column dead holds the lone positions of each level before."""
-    before, length = lengths[:-1], lengths[-1]
+def _units(read, length: int, window: int, marked: bool):
+    """Rows (hash, row, position) of the units of a level: its anchors, or all windows at the last. units: how many the document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -100,24 +108,23 @@ def _units(lengths: list[int], window: int):
 
         for batch in batches:
             rows = batch.column("row").to_numpy()
-            dead = [_lists(batch.column(f"dead{k}")) for k in range(len(before))]
-            for i, words in _split(batch.column("text")):
-                if len(words) < window:
-                    continue
-                if length < window:
+            for i, segments in read(batch, window, length == window):
+                h1, h2, pos = [], [], []
+                for at, words, second in segments:
                     anchors, hashes = window_anchors(words, length, window)
-                    if before:
-                        anchors = anchors[candidates(words, before, [d(i) for d in dead], window)]
-                    pos = np.unique(anchors)
-                    second = np.zeros(len(pos), np.int32)
-                else:
-                    pos = candidates(words, before, [d(i) for d in dead], window)
-                    if not len(pos):
-                        continue
-                    hashes = shingle_hashes(words, window, seed=1)
-                    second = shingle_hashes(words ^ np.uint64(0xA5A5A5A55A5A5A5A), window, seed=2)[pos].astype(np.uint32).view(np.int32)
-                parts.append((hashes[pos].view(np.int64), second, np.full(len(pos), rows[i]), pos.astype(np.int32), np.full(len(pos), len(pos), np.int32)))
-                held += len(pos)
+                    own = np.unique(anchors)
+                    h1.append(hashes[own].view(np.int64))
+                    h2.append((shingle_hashes(second.astype(np.uint64), window, seed=2)[own].astype(np.uint32) if length == window else np.zeros(len(own), np.uint32)).view(np.int32))
+                    pos.append((own + at).astype(np.int32))
+                if marked:
+                    h1.append(rows[i:i + 1])
+                    h2.append(np.array([MARKER], np.int32))
+                    pos.append(np.array([MARKER], np.int32))
+                pos = np.concatenate(pos)
+                # an anchor of two runs of a document stands in each of them: it is one unit
+                _, first = np.unique(pos, return_index=True)
+                parts.append((np.concatenate(h1)[first], np.concatenate(h2)[first], np.full(len(first), rows[i]), pos[first], np.full(len(first), len(first), np.int32)))
+                held += len(first)
                 if held >= BATCH_ROWS:
                     yield flush()
                     parts, held = [], 0
@@ -127,30 +134,46 @@ def _units(lengths: list[int], window: int):
     return run
 
 
-def _lists(column):
-    """row -> numpy array of a list column; null is empty."""
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    offsets = column.offsets.to_numpy()
-    offsets = offsets - offsets[0]
-    return lambda i: values[offsets[i]:offsets[i + 1]]
+def _survive(read, length: int, window: int):
+    """The runs of words whose windows all have a repeated unit. Column lone holds the document's lone positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lone, rows, at, size, words, second = _lists(batch.column("lone")), [], [], [], [], []
+            for i, segments in read(batch, window, True):
+                kept = []
+                for start, w, s in segments:
+                    alive = ~np.isin(window_anchors(w, length, window)[0] + start, lone(i))
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], alive, [False]]).astype(np.int8)))
+                    kept += [(start + a, w[a:b + window - 1], s[a:b + window - 1]) for a, b in edge.reshape(-1, 2).tolist()]
+                if kept:
+                    rows.append(i)
+                    at.append([k[0] for k in kept])
+                    size.append([len(k[1]) for k in kept])
+                    words.append(np.concatenate([k[1] for k in kept]).view(np.int64))
+                    second.append(np.concatenate([k[2] for k in kept]).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(pa.array(rows, pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(size, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int32()))],
+                names=["row", "at", "size", "words", "second"],
+            )
 
+    return run
+
+
+def _remove(texts: bool):
+    """at, size: the runs of words whose windows all repeat."""
 
-def _remove(lengths: list[int], window: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dead = [_lists(batch.column(f"dead{k}")) for k in range(len(lengths))]
-            column, alive = batch.column("text").cast(pa.large_binary()), batch.column("alive")
+            at, size, column = _lists(batch.column("at")), _lists(batch.column("size")), batch.column("text").cast(pa.large_binary())
             n_words, n_removed, sha, kept_texts, spans = [], [], [], [], []
-            for i, hashes in _split(batch.column("text")):
+            for i in range(batch.num_rows):
                 words = (column[i].as_py() or b"").split()
-                repeated = np.zeros(0, np.int64)
-                if alive[i].as_py():
-                    repeated = np.setdiff1d(candidates(hashes, lengths[:-1], [d(i) for d in dead[:-1]], window), dead[-1](i), assume_unique=True)
                 cover = np.zeros(len(words) + 1, np.int64)
-                np.add.at(cover, repeated, 1)
-                np.add.at(cover, repeated + window, -1)
+                np.add.at(cover, at(i), 1)
+                np.add.at(cover, at(i) + size(i), -1)
                 gone = np.cumsum(cover[:-1]) > 0
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if len(repeated) else words)
+                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if len(at(i)) else words)
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 sha.append(hashlib.sha256(kept).hexdigest())
@@ -168,27 +191,54 @@ def _remove(lengths: list[int], window: int, texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, levels: int = 2, texts: bool = False) -> DataFrame:
+def repeated_runs(source: DataFrame, window: int = WINDOW, levels: int = LEVELS, report: list | None = None) -> DataFrame:
+    """source: row, text. row, at, size: the runs of words whose windows all repeat. ``report`` gets (length, documents, candidate windows) of each level."""
+    found, read = source, _from_texts
+    for length in level_lengths(window, levels):
+        marked = read is _from_texts
+        units = found.mapInArrow(tidy(_units(read, length, window, marked)), "h1 long, h2 int, row long, pos int, units int")
+        counted = units.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min("pos").alias("pos"), F.min("units").alias("units"))
+        # the lone units of a document: no more than its words
+        lone = materialise(counted.where("n = 1").groupBy("row").agg(F.collect_list("pos").alias("lone"), F.max("units").alias("units")), f"lone-{length}")
+        if marked:
+            lone = lone.where("size(lone) < units")
+            found = BlockFilter(lone.select(F.xxhash64("row")), lone.count()).probe(found, F.xxhash64("row"), "alive").where("alive").drop("alive").join(lone, "row")
+        else:  # a document without a lone unit isn't among them
+            found = found.join(lone, "row", "left")
+        found, read = materialise(found.drop("units").mapInArrow(tidy(_survive(read, length, window)), "row long, at array<int>, size array<int>, words array<long>, second array<int>"), f"runs-{length}"), _from_runs
+        if report is not None:
+            left = found.agg(F.count(F.lit(1)), F.sum(F.expr(f"aggregate(size, 0L, (a, x) -> a + x - {window - 1})"))).first()
+            report.append((length, left[0], left[1] or 0))
+        if not found.take(1):
+            break
+    return found.select("row", "at", "size")
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, levels: int = LEVELS, texts: bool = False, report: list | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with ``texts`` also kept_text and the removed word spans."""
     ship(docs.sparkSession)
-    lengths = level_lengths(window, levels)
     id_type = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    source = stable(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("alive", F.lit(True))
-    for k, length in enumerate(lengths):
-        found = source.where("alive").mapInArrow(tidy(_units(lengths[:k + 1], window)), "h1 long, h2 int, row long, pos int, units int")
-        counted = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min("pos").alias("pos"), F.min("units").alias("units"))
-        # the lone units of a document (no more than its words), and how many units it has
-        lone = counted.where("n = 1").groupBy("row").agg(F.collect_list("pos").alias(f"dead{k}"), F.max("units").alias("units"))
-        if k < len(lengths) - 1:
-            lone = materialise(lone, f"lone-{length}")
-        # without a lone unit all of a document's repeat, or it is too short to have any
-        alive = F.col("alive") & F.coalesce(F.size(f"dead{k}") < F.col("units"), F.lit(True))
-        source = source.join(lone, "row", "left").withColumn("alive", alive).drop("units")
-    out = source.select("doc_id", "text", "alive", *(f"dead{k}" for k in range(len(lengths))))
+    source = stable(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    runs = repeated_runs(source.select("row", "text"), window, levels, report)
+    probed = BlockFilter(runs.select(F.xxhash64("row")), runs.count()).probe(source, F.xxhash64("row"), "loses")
+    nothing = [F.array().cast("array<int>").alias(c) for c in ("at", "size")]
+    out = probed.where("not loses").select("doc_id", "text", *nothing).unionByName(probed.where("loses").join(runs, "row", "left").select("doc_id", "text", "at", "size"))
     extra = ", kept_text string, removed array<struct<`from`: long, `to`: long>>" if texts else ""
-    return out.mapInArrow(tidy(_remove(lengths, window, texts)), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string{extra}")
+    return out.mapInArrow(tidy(_remove(texts)), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string{extra}")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of operator 5 over all of ``documents``."""
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+SQL_OP5 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p, len(w) AS n FROM d),
+s AS (SELECT r, p, word, n, md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS h FROM t),
+c AS (SELECT r, p, word, CASE WHEN p <= n - 34 AND count(*) FILTER (WHERE p <= n - 34) OVER (PARTITION BY h) > 1 THEN 1 ELSE 0 END AS starts FROM s),
+g AS (SELECT r, p, word, max(starts) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c),
+k AS (SELECT r, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE gone = 0) AS kept FROM g GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
