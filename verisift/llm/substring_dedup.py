@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OTHER_TABLE, binary_column, materialise, shingle_hashes, ship, stable, table, tidy, word_hashes, word_spans
+from .common import OTHER_TABLE, binary_column, discard, materialise, shingle_hashes, ship, stable, table, tidy, word_hashes, word_spans
 from .filters import BlockFilter
 
 WINDOW = 35
@@ -135,7 +135,8 @@ def _units(read, length: int, window: int, marked: bool):
 
 
 def _survive(read, length: int, window: int):
-    """The runs of words whose windows all have a repeated unit. Column lone holds the document's lone positions."""
+    """The runs of words whose windows all have a repeated unit, without the words after the last level. Column lone holds the document's lone positions."""
+    last = length == window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +151,8 @@ def _survive(read, length: int, window: int):
                     rows.append(i)
                     at.append([k[0] for k in kept])
                     size.append([len(k[1]) for k in kept])
-                    words.append(np.concatenate([k[1] for k in kept]).view(np.int64))
-                    second.append(np.concatenate([k[2] for k in kept]).astype(np.uint32).view(np.int32))
+                    words.append([] if last else np.concatenate([k[1] for k in kept]).view(np.int64))
+                    second.append([] if last else np.concatenate([k[2] for k in kept]).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row").take(pa.array(rows, pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(size, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int32()))],
                 names=["row", "at", "size", "words", "second"],
@@ -193,25 +194,27 @@ def _remove(texts: bool):
 
 def repeated_runs(source: DataFrame, window: int = WINDOW, levels: int = LEVELS, report: list | None = None) -> DataFrame:
     """source: row, text. row, at, size: the runs of words whose windows all repeat. ``report`` gets (length, documents, candidate windows) of each level."""
-    found, read = source, _from_texts
+    found, read, runs = source, _from_texts, None
     for length in level_lengths(window, levels):
-        marked = read is _from_texts
-        units = found.mapInArrow(tidy(_units(read, length, window, marked)), "h1 long, h2 int, row long, pos int, units int")
+        units = found.mapInArrow(tidy(_units(read, length, window, runs is None)), "h1 long, h2 int, row long, pos int, units int")
         counted = units.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min("pos").alias("pos"), F.min("units").alias("units"))
         # the lone units of a document: no more than its words
         lone = materialise(counted.where("n = 1").groupBy("row").agg(F.collect_list("pos").alias("lone"), F.max("units").alias("units")), f"lone-{length}")
-        if marked:
+        if runs is None:
             lone = lone.where("size(lone) < units")
             found = BlockFilter(lone.select(F.xxhash64("row")), lone.count()).probe(found, F.xxhash64("row"), "alive").where("alive").drop("alive").join(lone, "row")
         else:  # a document without a lone unit isn't among them
             found = found.join(lone, "row", "left")
-        found, read = materialise(found.drop("units").mapInArrow(tidy(_survive(read, length, window)), "row long, at array<int>, size array<int>, words array<long>, second array<int>"), f"runs-{length}"), _from_runs
+        before, runs = runs, materialise(found.drop("units").mapInArrow(tidy(_survive(read, length, window)), "row long, at array<int>, size array<int>, words array<long>, second array<int>"), f"runs-{length}")
+        if before is not None:
+            discard(before)
+        found, read = runs, _from_runs
         if report is not None:
-            left = found.agg(F.count(F.lit(1)), F.sum(F.expr(f"aggregate(size, 0L, (a, x) -> a + x - {window - 1})"))).first()
+            left = runs.agg(F.count(F.lit(1)), F.sum(F.expr(f"aggregate(size, 0L, (a, x) -> a + x - {window - 1})"))).first()
             report.append((length, left[0], left[1] or 0))
-        if not found.take(1):
+        if not runs.take(1):
             break
-    return found.select("row", "at", "size")
+    return runs.select("row", "at", "size")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, levels: int = LEVELS, texts: bool = False, report: list | None = None) -> DataFrame:
