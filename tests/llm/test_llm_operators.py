@@ -602,9 +602,9 @@ def test_event_probabilities_sum_to_one():
     counts = rng.integers(2, 500, len(words_))
     vocab = lm_scoring.Vocabulary(words_, counts, {"tokens": int(counts.sum()) + 100, "types": len(words_) + 50, "threshold": 2, "outside_tokens": 100, "unseen": 0.5})
     assert (vocab.find(words_) < len(words_)).all() and (vocab.find(words_ + np.uint64(1)) == len(words_)).sum() > 2900
-    w = vocab.start_weights() + rng.normal(0, 0.3, (lm_scoring.ROWS, lm_scoring.SLOTS)).astype(np.float32)
+    w = vocab.start_weights() + rng.normal(0, 0.3, (vocab.layout.rows, lm_scoring.SLOTS)).astype(np.float32)
     labels = np.array([5, 700, 3, 0])
-    total = sum(np.exp(lm_scoring.log_probs(w, vocab, np.array([5, 700, 3, e]), labels, np.array([0, 4])))[3] for e in range(lm_scoring.EVENTS))
+    total = sum(np.exp(lm_scoring.log_probs(w, vocab, np.array([5, 700, 3, e]), vocab.code[labels], np.array([0, 4])))[3] for e in range(lm_scoring.EVENTS))
     assert total == pytest.approx(1, abs=1e-4)
     inside = defaultdict(float)
     for i, e in enumerate(vocab.event[:-1]):
@@ -612,6 +612,47 @@ def test_event_probabilities_sum_to_one():
     assert all(x == pytest.approx(1) for x in inside.values())
 
 
+def test_score_against_a_plain_softmax(spark, docs, rows, monkeypatch):
+    """score of whole rows, from the trained weights, one token at a time in plain Python."""
+    kept = {}
+    real = lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda training, vocab: kept.setdefault("w", (vocab, real(training, vocab)))[1])
+    got = {g["doc_id"]: g["score"] for g in lm_scoring.score_documents(docs).collect()}
+    vocab, w = kept["w"]
+    u, at = (1 << 64) - 1, vocab.layout
+    golden, r = int(common._GOLDEN), int(common._R)
+
+    def softmax(indexes):
+        x = [sum(float(w[i][k]) for i in indexes) for k in range(32)]
+        top = max(x)
+        total = sum(math.exp(v - top) for v in x)
+        return [v - top - math.log(total) for v in x]
+
+    def score(text):
+        tokens = lm_tokens(text)
+        seen, total = [int(lm_scoring.START)] * 3, 0.0
+        for index in vocab.find(tokens).tolist():
+            c1, c2, c3 = seen[-1], seen[-2], seen[-3]
+            cls, slot = divmod(int(vocab.place[int(vocab.event[index])]), 32)
+            top = lambda x, bits: (x & u) >> (64 - bits)
+            one = softmax([at.bias, at.prev1 + top(c1, at.bits), at.prev2 + top(c2, at.bits - 1), at.prev3 + top(c3, at.bits - 2), at.pair + top((c1 * r + c2) * golden, at.bits)])
+            two = softmax([at.slot_bias + cls, at.slot1 + top((c1 + cls * r) * golden, at.bits), at.slot2 + top((c2 + cls * r) * golden, at.bits - 1)])
+            total += (one[cls] + two[slot]) / math.log(10) + float(vocab.inside[index])
+            seen.append(int(vocab.code[index]))
+        return total
+
+    for i, text in [(r_[0], r_[1]) for r_ in rows if r_[0] in (0, 1, 7, 20, 140, 300)]:
+        assert got[i] == pytest.approx(score(text), rel=1e-4)  # all known words are in the head: an unknown one has the whole of the last event
+
+
+def lm_tokens(text):
+    import pyarrow as pa
+
+    raw, offsets = common.binary_column(pa.array([text or ""]))
+    starts, ends, _ = common.word_spans(raw, offsets)
+    return np.append(common.word_hashes(raw, starts, ends, lower=True), lm_scoring.END_HASH)
+
+
 def test_gradient_steps_lower_the_loss():
     rng = np.random.default_rng(3)
     words_ = np.unique(rng.integers(1, 2**63, 50).astype(np.uint64))
@@ -620,10 +661,11 @@ def test_gradient_steps_lower_the_loss():
     labels = np.tile(np.arange(40), 300)
     offsets = np.array([0, len(labels)])
     trainer = lm_scoring.Trainer(vocab.start_weights())
-    before = lm_scoring.log_probs(trainer.w, vocab, labels, labels, offsets).mean()
-    trainer.learn(vocab, labels, offsets)
-    trainer.learn(vocab, labels, offsets)
-    assert lm_scoring.log_probs(trainer.w, vocab, labels, labels, offsets).mean() > before + 1
+    codes = vocab.code[labels]
+    before = lm_scoring.log_probs(trainer.w, vocab, labels, codes, offsets).mean()
+    trainer.learn(vocab, labels, codes, offsets)
+    trainer.learn(vocab, labels, codes, offsets)
+    assert lm_scoring.log_probs(trainer.w, vocab, labels, codes, offsets).mean() > before + 1
 
 
 # --------------------------------------------------------------------------- 8: packing
