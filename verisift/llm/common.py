@@ -65,9 +65,20 @@ def materialise(df: DataFrame, name: str, *, options: dict[str, str] | None = No
     return out
 
 
+def materialise_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``materialise`` as a table bucketed by ``key`` in as many buckets as shuffles have partitions: a later join by key doesn't move it. To be given to ``discard``."""
+    spark, path, table_name = df.sparkSession, scratch_path(df.sparkSession, name), f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_parts(spark), key).format("parquet").option("path", path).saveAsTable(table_name)
+    out = spark.table(table_name)
+    out.scratch_path, out.scratch_table = path, table_name
+    return out
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files of a frame from ``materialise`` that nothing reads any more."""
+    """Delete the files of a frame from ``materialise`` or ``materialise_by`` that nothing reads any more."""
     spark = df.sparkSession
+    if hasattr(df, "scratch_table"):
+        spark.sql(f"DROP TABLE IF EXISTS {df.scratch_table}")
     at = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -13,7 +13,7 @@ repeated at the level before:
 Counting needs no join back and no group in one place: a hash's rows are summed with partial aggregation, carrying the least row
 and position. Where the sum is 1 these *are* the lone occurrence, which goes back to its document. Frequent passages
 collapse before the shuffle. Of the texts, only those with a candidate after the first level and those that lose words cross the network,
-once each: the others stop at a filter of row numbers. Later levels read the survivors' runs alone. The last level compares 64 bits of one hash
+once each: the others stop at a filter of row numbers. Later levels read the survivors' runs alone, which are bucketed by row number and don't move. The last level compares 64 bits of one hash
 of the words' bytes and 32 of another, independent one; earlier levels only choose candidates.
 
 Defined cases: null text has no words; documents with fewer words than WINDOW lose nothing; repeated rows are documents of their own
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OTHER_TABLE, binary_column, discard, materialise, shingle_hashes, ship, stable, table, tidy, word_hashes, word_spans
+from .common import OTHER_TABLE, binary_column, discard, materialise, materialise_by, shingle_hashes, ship, stable, table, tidy, word_hashes, word_spans
 from .filters import BlockFilter
 
 WINDOW = 35
@@ -202,17 +202,21 @@ def repeated_runs(source: DataFrame, window: int = WINDOW, levels: int = LEVELS,
         lone = materialise(counted.where("n = 1").groupBy("row").agg(F.collect_list("pos").alias("lone"), F.max("units").alias("units")), f"lone-{length}")
         if runs is None:
             lone = lone.where("size(lone) < units")
-            found = BlockFilter(lone.select(F.xxhash64("row")), lone.count()).probe(found, F.xxhash64("row"), "alive").where("alive").drop("alive").join(lone, "row")
+            found = BlockFilter(lone.select(F.xxhash64("row")), lone.count()).probe(found, F.xxhash64("row"), "alive").where("alive").drop("alive").join(lone.hint("merge"), "row")
         else:  # a document without a lone unit isn't among them
-            found = found.join(lone, "row", "left")
-        before, runs = runs, materialise(found.drop("units").mapInArrow(tidy(_survive(read, length, window)), "row long, at array<int>, size array<int>, words array<long>, second array<int>"), f"runs-{length}")
+            found = found.join(lone.hint("merge"), "row", "left")
+        left = found.drop("units").mapInArrow(tidy(_survive(read, length, window)), "row long, at array<int>, size array<int>, words array<long>, second array<int>")
+        before, runs = runs, materialise(left, "runs") if length == window else materialise_by(left, "row", "runs")
         if before is not None:
             discard(before)
         found, read = runs, _from_runs
         if report is not None:
             left = runs.agg(F.count(F.lit(1)), F.sum(F.expr(f"aggregate(size, 0L, (a, x) -> a + x - {window - 1})"))).first()
             report.append((length, left[0], left[1] or 0))
-        if not runs.take(1):
+        if length < window and not runs.take(1):
+            none = materialise(runs, "runs")
+            discard(runs)
+            runs = none
             break
     return runs.select("row", "at", "size")
 
@@ -225,7 +229,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     runs = repeated_runs(source.select("row", "text"), window, levels, report)
     probed = BlockFilter(runs.select(F.xxhash64("row")), runs.count()).probe(source, F.xxhash64("row"), "loses")
     nothing = [F.array().cast("array<int>").alias(c) for c in ("at", "size")]
-    out = probed.where("not loses").select("doc_id", "text", *nothing).unionByName(probed.where("loses").join(runs, "row", "left").select("doc_id", "text", "at", "size"))
+    out = probed.where("not loses").select("doc_id", "text", *nothing).unionByName(probed.where("loses").join(runs.hint("merge"), "row", "left").select("doc_id", "text", "at", "size"))
     extra = ", kept_text string, removed array<struct<`from`: long, `to`: long>>" if texts else ""
     return out.mapInArrow(tidy(_remove(texts)), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string{extra}")
 
