@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,14 +15,18 @@ def short_hash(sha256: Column) -> Column:
     return F.concat(F.substring(sha256, 1, 16), F.lit("..."))
 
 
-def find_duplicates(files: DataFrame, *, order: str = "path", min_size: int = 1) -> DataFrame:
-    """files: path, length, content and the column ``order``. Groups of two or more equal contents: sha256, size_bytes, count, wasted_bytes, paths in order.
+def find_duplicates(files: DataFrame, *, order: str = "path", min_size: int = 1, paths: bool = False) -> DataFrame:
+    """files: path, length, content and the column ``order``. Groups of two or more equal contents: sha256, size_bytes, count, wasted_bytes, first_path.
 
-    Only (length, sha256, order, path) cross the exchange. A path listed twice is a duplicate of itself.
+    Partial sums, so a group of any size is a row for each task. Members come as rows from ``keep_first``; with ``paths`` as one list
+    a group, for groups known to be of modest size. A path listed twice is a duplicate of itself.
     """
     hashed = files.where(F.col("length") >= min_size).select("length", F.sha2("content", 256).alias("sha256"), F.col(order).alias("ord"), F.col("path").cast("string").alias("path"))
-    groups = hashed.groupBy("sha256").agg(F.min("length").alias("size_bytes"), F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list(F.struct("ord", "path"))).alias("members"))
-    return groups.where("count >= 2").select("sha256", "size_bytes", "count", (F.col("size_bytes") * (F.col("count") - 1)).alias("wasted_bytes"), F.col("members.path").alias("paths"))
+    member = F.struct("ord", "path")
+    listed = [F.sort_array(F.collect_list(member)).alias("members")] if paths else []
+    groups = hashed.groupBy("sha256").agg(F.min("length").alias("size_bytes"), F.count(F.lit(1)).alias("count"), F.min(member).alias("first"), *listed)
+    out = groups.where("count >= 2").withColumn("wasted_bytes", F.col("size_bytes") * (F.col("count") - 1))
+    return out.select("sha256", "size_bytes", "count", "wasted_bytes", F.col("first.path").alias("first_path"), *([F.col("members.path").alias("paths")] if paths else []))
 
 
 def wasted_bytes(files: DataFrame, *, min_size: int = 1) -> DataFrame:
@@ -38,8 +42,3 @@ def keep_first(files: DataFrame, *, order: str = "path", min_size: int = 1) -> D
     keep = F.struct("ord", "path") == F.col("first")
     return hashed.join(firsts, "sha256").select("sha256", F.col("ord"), "path", "size_bytes", F.when(keep, "KEEP").otherwise("DELETE").alias("action"))
 
-
-def ranked_members(files: DataFrame, *, order: str = "path") -> DataFrame:
-    """Each file's place in its group, for reports on groups of modest size."""
-    w = Window.partitionBy("sha256").orderBy("ord")
-    return files.select(F.col(order).alias("ord"), "path", F.sha2("content", 256).alias("sha256")).withColumn("place", F.row_number().over(w))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from verisift.functions import exif as fx
 from verisift.functions import pii, rules, text, urls
-from verisift.operators import ai, chunk, dedup, diff, identity
+from verisift.operators import ai, chunk, dedup, diff, exif, identity
 from verisift.operators.extract import extract_text
 from verisift.operators.web import extract_urls, inspect_urls
-from verisift.plans import oracle
+from verisift.plans import fixtures, oracle
 from verisift.sources.files import text_as_files
 from verisift.sources.session import ship, table
 
@@ -59,7 +59,7 @@ def _(t, spark):
 
 @query("find_duplicates", oracle.FIND_DUPLICATES)
 def _(t, spark):
-    return dedup.find_duplicates(document_files(t), order="doc_id").withColumn("paths", F.array_join("paths", ","))
+    return dedup.find_duplicates(document_files(t), order="doc_id")
 
 
 @query("duplicate_keep_delete", oracle.KEEP_DELETE)
@@ -194,7 +194,7 @@ def _(t, spark):
 
 @query("rag_preflight", oracle.RAG_PREFLIGHT)
 def _(t, spark):
-    return identity.rag_preflight(results(t), 2_000).where("real_type <> 'csv'").select("doc_id", "metadata.estimated_tokens")
+    return identity.rag_preflight(results(t), 100_000).select("doc_id", "metadata.estimated_tokens")
 
 
 @query("batch_summary", oracle.BATCH_SUMMARY)
@@ -220,6 +220,39 @@ def _(t, spark):
     return r.select("doc_id", identity.summary(r).alias("summary"), identity.metadata_json(F.col("metadata")).alias("metadata_json"))
 
 
+# --------------------------------------------------------------------------- files of every format
+
+def fixture_files(spark) -> DataFrame:
+    """The small files of ``fixtures``, whose expected results are known: PDF, Office, images, audio, video, archives, text, and broken ones."""
+    return spark.createDataFrame([(name, len(data), bytearray(data)) for name, data in fixtures.fixture_files().items()], "path string, length bigint, content binary")
+
+
+@query("fixture_records", oracle.FIXTURE_RECORDS)
+def _(t, spark):
+    r = identity.analyze(fixture_files(spark))
+    first_line = F.substring_index(identity.summary(r), "\n", 1)
+    return r.select("path", "valid", "real_type", "extension", "extension_matches", "risk_score", F.size("errors").alias("n_errors"), F.array_join("warnings", "; ").alias("warnings"), first_line.alias("summary"))
+
+
+@query("fixture_metadata", oracle.FIXTURE_METADATA)
+def _(t, spark):
+    r = identity.analyze(fixture_files(spark))
+    return r.select("path", F.explode(F.from_json(identity.metadata_json(F.col("metadata")), "map<string,string>")).alias("name", "value")).where("name not in ('language', 'inspection_error')")
+
+
+@query("fixture_text", oracle.FIXTURE_TEXT)
+def _(t, spark):
+    shown = F.when(F.col("text").rlike("[\\x00-\\x08\\x{FFFD}]"), "binary").otherwise(F.translate("text", "\n", "|"))
+    return extract_text(identity.with_type(fixture_files(spark)), "path").select("path", shown.alias("text"), "extractor")
+
+
+@query("exif_records", oracle.EXIF_RECORDS)
+def _(t, spark):
+    e = exif.extract_exif(fixture_files(spark).where("path like '%.jpg'"))
+    fields = ["camera_make", "camera_model", "shutter_speed", "aperture", "iso", "focal_length", "gps.latitude", "gps.longitude", "gps.altitude"]
+    return e.select("path", *[F.col(f"exif.{f}") for f in fields], "has_gps", "maps_url")
+
+
 # --------------------------------------------------------------------------- chunks and differences
 
 def _chunks(strategy, **names):

@@ -42,7 +42,7 @@ _PATH = f"'doc_' || doc_id || CASE WHEN ({_EXT}) <> '' THEN '.' || ({_EXT}) ELSE
 
 FIND_DUPLICATES = f"""
 SELECT sha256(text) AS sha256, CAST(min(strlen(text)) AS BIGINT) AS size_bytes, count(*) AS count,
-       CAST(min(strlen(text)) * (count(*) - 1) AS BIGINT) AS wasted_bytes, string_agg({_PATH}, ',' ORDER BY doc_id) AS paths
+       CAST(min(strlen(text)) * (count(*) - 1) AS BIGINT) AS wasted_bytes, arg_min({_PATH}, doc_id) AS first_path
 FROM documents WHERE strlen(text) >= 1 GROUP BY 1 HAVING count(*) >= 2
 """
 KEEP_DELETE = f"""
@@ -179,11 +179,105 @@ SELECT doc_id, reason IS NULL AS accepted, reason FROM (
   SELECT doc_id, CASE WHEN NOT ok THEN coalesce({_WRONG}, 'Invalid file') WHEN real_type NOT IN ('txt', 'md', 'csv') THEN 'Type not allowed: ' || real_type WHEN score > 50 THEN 'Risk too high: ' || score END AS reason
   FROM ({_RESULT}))
 """
-RAG_PREFLIGHT = f"SELECT doc_id, {_tokens(_words('body'))} AS estimated_tokens FROM ({_RESULT}) WHERE ok AND real_type <> 'csv' AND {_tokens(_words('body'))} <= 2000"
+RAG_PREFLIGHT = f"SELECT doc_id, estimated_tokens FROM (SELECT doc_id, CASE WHEN real_type = 'csv' THEN {_tokens(_CSV_WORDS)} ELSE {_tokens(_words('body'))} END AS estimated_tokens FROM ({_RESULT}) WHERE ok) WHERE estimated_tokens <= 100000"
 BATCH_SUMMARY = "SELECT count(*) AS total, count(*) AS succeeded, CAST(0 AS BIGINT) AS failed, CASE WHEN count(*) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS success_rate FROM documents"
 FOLDER_SCAN = f"SELECT count(*) AS files, count(*) FILTER (WHERE score > 0) AS at_risk, CAST(max(score) AS INTEGER) AS highest FROM ({_RESULT})"
 TYPE_ROLLUP = f"SELECT real_type, tier, count(*) AS files FROM (SELECT real_type, {_TIER} AS tier FROM ({_RESULT})) GROUP BY ROLLUP (real_type, tier)"
 
+# --------------------------------------------------------------------------- files of every format
+# What is known of the files in ``fixtures`` from the bytes that they were made of.
+
+_MISMATCH, _FFPROBE = "Extension mismatch", "Install ffprobe for full video metadata"
+_RECORDS = [
+    # path, valid, type, extension, extension matches, risk, errors, warnings, first line of the summary
+    ("report.pdf", True, "pdf", "pdf", True, 0, 0, "", "✓ Valid PDF"),
+    ("photo.png", True, "png", "png", True, 0, 0, "", "✓ Valid PNG"),
+    ("photo.pdf", False, "png", "pdf", False, 70, 1, _MISMATCH, "✗ Invalid PNG"),
+    ("corrupted.pdf", False, "pdf", "pdf", True, 70, 1, "Metadata could not be fully extracted", "✗ Invalid PDF"),
+    ("document.docx", True, "docx", "docx", True, 0, 0, "", "✓ Valid DOCX"),
+    ("corrupted.docx", False, "zip", "docx", False, 100, 2, _MISMATCH + "; Metadata could not be fully extracted", "✗ Invalid ZIP"),
+    ("sheet.xlsx", True, "xlsx", "xlsx", True, 0, 0, "", "✓ Valid XLSX"),
+    ("deck.pptx", True, "pptx", "pptx", True, 0, 0, "", "✓ Valid PPTX"),
+    ("archive.zip", True, "zip", "zip", True, 0, 0, "", "✓ Valid ZIP"),
+    ("photo.zip", False, "png", "zip", False, 70, 1, _MISMATCH, "✗ Invalid PNG"),
+    ("data.json", True, "json", "json", True, 0, 0, "", "✓ Valid JSON"),
+    ("broken.json", False, "txt", "json", False, 70, 1, _MISMATCH, "✗ Invalid TXT"),
+    ("data.csv", True, "csv", "csv", True, 0, 0, "", "✓ Valid CSV"),
+    ("readme.txt", True, "txt", "txt", True, 0, 0, "", "✓ Valid TXT"),
+    ("notes.md", True, "md", "md", True, 0, 0, "", "✓ Valid MD"),
+    ("empty.pdf", False, "unknown", "", False, 30, 1, "", "✗ Invalid Unknown type"),
+    ("book.epub", True, "epub", "epub", True, 0, 0, "", "✓ Valid EPUB"),
+    ("evil.zip", True, "zip", "zip", True, 80, 0, "Embedded executable detected: bin/MALWARE.EXE", "✓ Valid ZIP"),
+    ("a.tar", True, "tar", "tar", True, 0, 0, "", "✓ Valid TAR"),
+    ("a.gz", True, "gz", "gz", True, 0, 0, "", "✓ Valid GZ"),
+    ("bad.gz", False, "gz", "gz", True, 50, 1, "", "✗ Invalid GZ"),
+    ("a.bz2", True, "bz2", "bz2", True, 0, 0, "", "✓ Valid BZ2"),
+    ("a.7z", True, "7z", "7z", True, 0, 0, "", "✓ Valid 7Z"),
+    ("a.rar", True, "rar", "rar", True, 0, 0, "", "✓ Valid RAR"),
+    ("movie.mp4", True, "mp4", "mp4", True, 0, 0, "", "✓ Valid MP4"),
+    ("movie.mov", False, "mp4", "mov", False, 70, 1, _MISMATCH, "✗ Invalid MP4"),
+    ("movie.mkv", True, "mkv", "mkv", True, 0, 0, "", "✓ Valid MKV"),
+    ("movie.webm", True, "webm", "webm", True, 0, 0, "", "✓ Valid WEBM"),
+    ("tone.wav", True, "wav", "wav", True, 0, 0, "", "✓ Valid WAV"),
+    ("stub.mp3", True, "mp3", "mp3", True, 0, 0, "Audio metadata could not be read", "✓ Valid MP3"),
+    ("good.xml", True, "xml", "xml", True, 0, 0, "", "✓ Valid XML"),
+    ("bad.xml", False, "xml", "xml", True, 50, 1, "", "✗ Invalid XML"),
+    ("page.html", True, "html", "html", True, 0, 0, "", "✓ Valid HTML"),
+    ("pic.svg", True, "svg", "svg", True, 20, 0, "Metadata could not be fully extracted", "✓ Valid SVG"),
+    ("camera.jpg", True, "jpg", "jpg", True, 0, 0, "", "✓ Valid JPG"),
+    ("noext", False, "txt", "", False, 40, 0, _MISMATCH, "✗ Invalid TXT"),
+    ("blank.txt", True, "txt", "txt", True, 0, 0, "TXT file is empty", "✓ Valid TXT"),
+    ("prose.txt", False, "csv", "txt", False, 70, 1, _MISMATCH, "✗ Invalid CSV"),
+    ("null.json", False, "txt", "json", False, 70, 1, _MISMATCH, "✗ Invalid TXT"),
+    ("binary.bin", False, "unknown", "bin", False, 70, 1, "No validator for type 'unknown'; skipping structural check; " + _MISMATCH, "✗ Invalid Unknown type"),
+]
+_PIXEL = {"width": 1, "height": 1, "mode": "RGB", "has_transparency": "false"}
+
+
+def _prose(words: int, characters: int, lines: int) -> dict:
+    return {"words": words, "characters": characters, "lines": lines, "estimated_tokens": max(1, int(words / 0.75))}
+
+
+_METADATA = {
+    "report.pdf": {"pages": 1, "encrypted": "false", "contains_images": "false", "contains_tables": "false", "estimated_tokens": 1},
+    "photo.png": _PIXEL | {"width": 3, "height": 2}, "photo.pdf": _PIXEL, "photo.zip": _PIXEL, "camera.jpg": _PIXEL | {"width": 6, "height": 4},
+    "document.docx": {"paragraphs": 2, "words": 3, "estimated_tokens": 4, "estimated_pages": 1},
+    "sheet.xlsx": {"sheets": 1, "sheet_names": '["Data"]', "rows": 1, "columns": 3, "estimated_tokens": 2},
+    "deck.pptx": {"slides": 1, "text_length": 10, "estimated_tokens": 2}, "book.epub": {"estimated_tokens": 2},
+    "archive.zip": {"file_count": 2, "total_uncompressed_bytes": 7, "total_compressed_bytes": 7}, "evil.zip": {"file_count": 2, "total_uncompressed_bytes": 3, "total_compressed_bytes": 3},
+    "a.tar": {"file_count": 1, "total_bytes": 5}, "tone.wav": {"duration": 1.0, "bitrate": 705600, "sample_rate": 44100, "channels": 1},
+    "data.csv": {"rows": 3, "columns": 3, "estimated_tokens": 12}, "prose.txt": {"rows": 3, "columns": 2, "estimated_tokens": 8},
+    "data.json": _prose(3, 13, 1), "broken.json": _prose(1, 6, 1), "readme.txt": _prose(10, 54, 4), "notes.md": _prose(6, 24, 5), "good.xml": _prose(2, 38, 1), "bad.xml": _prose(2, 31, 1),
+    "page.html": _prose(3, 57, 1), "noext": _prose(3, 16, 1), "blank.txt": _prose(0, 4, 2), "null.json": _prose(1, 5, 2),
+    **{f"movie.{x}": {"inspection_note": _FFPROBE} for x in ("mp4", "mov", "mkv", "webm")},
+}
+_TEXTS = {
+    "document.docx": ("Hello big world|a | b", "docx"), "sheet.xlsx": ("[Sheet: Data]|name | 7", "xlsx"), "deck.pptx": ("[Slide 1]|Title here", "pptx"), "report.pdf": ("", "pdf"),
+    "archive.zip": ("[readme.txt]|hello||[data.json]|{}", "archive"), "evil.zip": ("[readme.txt]|x", "archive"), "corrupted.docx": ("", "archive"), "a.tar": ("[note.txt]|12345", "archive"), "a.gz": ("text inside", "archive"), "bad.gz": ("", "archive"),
+    "data.json": ('{|  "a": [|    1,|    2|  ]|}', "json"), "data.csv": ("a | b | c|1 | 2 | 3|4 | 5 | 6", "csv"), "prose.txt": ("one |  two|three |  four|five |  six", "csv"), "book.epub": ("one||two", "epub+zip"),
+    "good.xml": ("x|y|z", "xml.etree"), "page.html": ("Hi there", "tag-strip"), "broken.json": ('{"a": ', "plain-text"), "readme.txt": ("Just some prose.|Another line here.|And the last one.|", "plain-text"),
+    "notes.md": ("# Title||- item|> quote|", "plain-text"), "noext": ("plain words only", "plain-text"), "blank.txt": ("  | ", "plain-text"), "null.json": ("null|", "plain-text"), "empty.pdf": ("", "plain-text"),
+    **{x: ("binary", "plain-text") for x in ("a.bz2", "a.7z", "a.rar", "binary.bin")},
+    **{x: ("", "") for x in ("photo.png", "photo.pdf", "corrupted.pdf", "photo.zip", "movie.mp4", "movie.mov", "movie.mkv", "movie.webm", "tone.wav", "stub.mp3", "bad.xml", "pic.svg", "camera.jpg")},
+}
+
+
+def _literal(x) -> str:
+    return str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) AS v({columns})"
+
+
+FIXTURE_RECORDS = _values("path, valid, real_type, extension, extension_matches, risk_score, n_errors, warnings, summary", _RECORDS)
+FIXTURE_METADATA = _values("path, name, value", [(p, k, str(v)) for p, m in _METADATA.items() for k, v in m.items()])
+FIXTURE_TEXT = _values("path, text, extractor", [(p, *x) for p, x in _TEXTS.items()])
+EXIF_RECORDS = """
+SELECT 'camera.jpg' AS path, 'Acme' AS camera_make, 'Cam 1' AS camera_model, '1/125' AS shutter_speed, 2.8::DOUBLE AS aperture, 200::INTEGER AS iso, 50.0::DOUBLE AS focal_length,
+       -10.5::DOUBLE AS latitude, 20.26::DOUBLE AS longitude, 123.4::DOUBLE AS altitude, true AS has_gps, 'https://www.google.com/maps?q=-10.5,20.26' AS maps_url
+"""
+
 # --------------------------------------------------------------------------- chunks and differences
 
 _COUNTED = f"CAST({_words('chunk')} AS BIGINT) AS word_count, {_tokens(_words('chunk'))} AS token_estimate"
