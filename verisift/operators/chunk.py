@@ -1,78 +1,97 @@
-"""Chunks of text for retrieval, as exploded rows. Native: greedy packing is an ``aggregate`` fold."""
+"""Chunks of text for retrieval, as exploded rows.
+
+Substrings by position and growing arrays cost Spark's expressions the square of a text's length, so a text is cut by one Arrow function, in time
+linear in its length; counts of words and tokens are native. Positions count the parts' lengths and joiners, so those of packed chunks are approximate.
+"""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from verisift.functions.rules import NOT_WHITE
-from verisift.functions.text import strip, tokens_from_words, word_count
+from verisift.functions.text import tokens_from_words, word_count
 
-CHUNK = "struct<text:string,char_start:int,char_end:int>"
+CHUNKS_TYPE = T.ArrayType(T.StructType().add("text", "string").add("char_start", "integer").add("char_end", "integer"))
 STRATEGIES = ("fixed", "sentence", "paragraph", "semantic")
 # Where a sentence ends, where a paragraph ends.
-SENTENCE_BREAK = r'(?<=[.!?])[\s\x1c-\x1f\x{85}\p{Z}]+(?=[A-Z"])'
+SENTENCE_BREAK = r'(?<=[.!?])\s+(?=[A-Z"])'
 PARAGRAPH_BREAK = r"\n{2,}"
 
-
-def _empty() -> Column:
-    return F.array().cast(f"array<{CHUNK}>")
+Chunk = tuple[str, int, int]
 
 
-def _chunk(text: Column, start: Column, end: Column) -> Column:
-    return F.struct(text.alias("text"), start.cast("int").alias("char_start"), end.cast("int").alias("char_end"))
-
-
-def fixed(text: Column, size: int, overlap: int) -> Column:
+def fixed(text: str, size: int, overlap: int) -> Iterator[Chunk]:
     """Windows of ``size`` characters, each ``size - overlap`` after the one before."""
-    step = max(1, size - overlap)
-    starts = F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))
-    return F.transform(starts, lambda s: _chunk(F.substring(text, s + 1, F.lit(size)), s, F.least(s + size, F.length(text))))
-
+    for at in range(0, len(text), max(1, size - overlap)):
+        window = text[at:at + size]
+        yield window, at, at + len(window)
 
-def _packed(parts: Column, size: int, joiner: str) -> Column:
-    """Greedy: a part that would not fit any more begins a new chunk. Positions count the parts' lengths and joiners, so they are approximate."""
-    gap = len(joiner)
-    begin = F.struct(F.lit("").alias("cur"), F.lit(0).alias("start"), F.lit(0).alias("pos"), _empty().alias("out"))
 
-    def add(acc: Column, p: Column) -> Column:
-        full = (acc["cur"] != "") & (F.length(acc["cur"]) + F.length(p) + gap > size)
-        cur = F.when(full | (acc["cur"] == ""), p).otherwise(F.concat(acc["cur"], F.lit(joiner), p))
-        out = F.when(full, F.concat(acc["out"], F.array(_chunk(acc["cur"], acc["start"], acc["start"] + F.length(acc["cur"]))))).otherwise(acc["out"])
-        return F.struct(cur.alias("cur"), F.when(full, acc["pos"]).otherwise(acc["start"]).alias("start"), (acc["pos"] + F.length(p) + gap).cast("int").alias("pos"), out.alias("out"))
+def _packed(text: str, break_: str, joiner: str, size: int) -> Iterator[Chunk]:
+    """As many parts as fit, one at least. Where a chunk ends is looked up in the running sum of the parts' lengths."""
+    parts = [part for piece in re.split(break_, text) if (part := piece.strip())]
+    gap, at = len(joiner), 0
+    sums = [0, *accumulate(len(part) + gap for part in parts)]
+    while at < len(parts):
+        after = max(at + 1, bisect_right(sums, sums[at] + size + gap) - 1)
+        chunk = joiner.join(parts[at:after])
+        yield chunk, sums[at], sums[at] + len(chunk)
+        at = after
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["cur"] != "", F.concat(acc["out"], F.array(_chunk(acc["cur"], acc["start"], acc["start"] + F.length(acc["cur"]))))).otherwise(acc["out"])
 
-    return F.aggregate(parts, begin, add, finish)
+def sentences(text: str, size: int) -> Iterator[Chunk]:
+    return _packed(text, SENTENCE_BREAK, " ", size)
 
 
-def _parts(text: Column, break_: str) -> Column:
-    return F.filter(F.transform(F.split(text, break_), strip), lambda p: p != "")
+def paragraphs(text: str, size: int) -> Iterator[Chunk]:
+    return _packed(text, PARAGRAPH_BREAK, "\n\n", size)
 
 
-def sentences(text: Column, size: int) -> Column:
-    return _packed(_parts(text, SENTENCE_BREAK), size, " ")
-
-
-def paragraphs(text: Column, size: int) -> Column:
-    return _packed(_parts(text, PARAGRAPH_BREAK), size, "\n\n")
-
-
-def semantic(text: Column, size: int) -> Column:
+def semantic(text: str, size: int) -> Iterator[Chunk]:
     """Paragraph chunks; those above 1.5 times the size are packed again by sentences."""
-
-    def again(c: Column) -> Column:
-        inner = F.transform(sentences(c["text"], size), lambda s: _chunk(s["text"], c["char_start"] + s["char_start"], c["char_start"] + s["char_end"]))
-        return F.when(F.length(c["text"]) > size * 1.5, inner).otherwise(F.array(_chunk(c["text"], c["char_start"], c["char_end"])))
-
-    return F.flatten(F.transform(paragraphs(text, size), again))
+    for chunk, start, end in paragraphs(text, size):
+        if len(chunk) <= size * 1.5:
+            yield chunk, start, end
+        else:
+            yield from ((part, start + a, start + b) for part, a, b in sentences(chunk, size))
+
+
+def _cutter(strategy: str, size: int, overlap: int):
+    arrow = to_arrow_type(CHUNKS_TYPE)
+
+    def cut(text: str) -> Iterator[Chunk]:
+        if strategy == "fixed":
+            return fixed(text, size, overlap)
+        return {"sentence": sentences, "paragraph": paragraphs}.get(strategy, semantic)(text, size)
+
+    @F.arrow_udf(CHUNKS_TYPE)
+    def cut_all(texts: pa.Array) -> pa.Array:
+        offsets, chunks, starts, ends = [0], [], [], []
+        for value in texts.cast(pa.binary()):
+            text = (value.as_py() or b"").decode("utf-8", "replace")
+            for chunk, start, end in cut(text) if text.strip() else ():
+                chunks.append(chunk)
+                starts.append(start)
+                ends.append(end)
+            offsets.append(len(chunks))
+        fields = [pa.array(chunks, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+        structs = pa.StructArray.from_arrays(fields, fields=list(arrow.value_type))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs).cast(arrow)
+
+    return cut_all
 
 
 def chunks(text: Column, strategy: str = "paragraph", size: int = 512, overlap: int = 50) -> Column:
     """Chunks of a text; none for null or blank text. Unknown strategies are ``semantic``."""
-    made = fixed(text, size, overlap) if strategy == "fixed" else {"sentence": sentences, "paragraph": paragraphs}.get(strategy, semantic)(text, size)
-    return F.when(F.coalesce(text, F.lit("")).rlike(NOT_WHITE), made).otherwise(_empty())
+    return _cutter(strategy, size, overlap)(text)
 
 
 def chunk_rows(df: DataFrame, text_col: str, *keep: str, strategy: str = "paragraph", size: int = 512, overlap: int = 50) -> DataFrame:
