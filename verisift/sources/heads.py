@@ -14,7 +14,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BLOCK = 1 << 16
+ROWS = 1000
 SCHEMA = "path string, length bigint, head binary, sha256 string, md5 string"
+NAMES, TYPES = ["path", "length", "head", "sha256", "md5"], [pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string()]
 
 
 class Files(InputPartition):
@@ -51,18 +53,22 @@ class HeadReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         files, _ = self._files()
-        for name, size in partition.names:
-            sha, md5, head, seen = hashlib.sha256(), hashlib.md5(), b"", 0
-            with files.open_input_stream(name, compression=None) as f:
-                while data := f.read(BLOCK if self.hashed else self.head_bytes - seen):
-                    if len(head) < self.head_bytes:
-                        head += data[: self.head_bytes - len(head)]
-                    seen += len(data)
-                    if not self.hashed and seen >= self.head_bytes:
-                        break
-                    sha.update(data)
-                    md5.update(data)
-            yield (name, size, head, sha.hexdigest() if self.hashed else None, md5.hexdigest() if self.hashed else None)
+        for lo in range(0, len(partition.names), ROWS):
+            rows = [self._row(files, *named) for named in partition.names[lo:lo + ROWS]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
+
+    def _row(self, files, name: str, size: int) -> tuple:
+        sha, md5, head, seen = hashlib.sha256(), hashlib.md5(), b"", 0
+        with files.open_input_stream(name, compression=None) as f:
+            while data := f.read(BLOCK if self.hashed else self.head_bytes - seen):
+                if len(head) < self.head_bytes:
+                    head += data[: self.head_bytes - len(head)]
+                seen += len(data)
+                if not self.hashed and seen >= self.head_bytes:
+                    break
+                sha.update(data)
+                md5.update(data)
+        return name, size, head, sha.hexdigest() if self.hashed else None, md5.hexdigest() if self.hashed else None
 
 
 class FileHeads(DataSource):
