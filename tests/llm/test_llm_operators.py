@@ -834,27 +834,82 @@ def test_broken_archive_ends_with_an_error_row(spark, tmp_path):
 
 # --------------------------------------------------------------------------- pipeline
 
+def smallest_of(groups):
+    """Of each group of rows the one with the smallest id, nulls last."""
+    return Counter(min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups)
+
+
+def near_groups(rows):
+    """Classes of rows by brute force over all pairs of texts that share a shingle."""
+    texts = defaultdict(list)
+    for r in rows:
+        texts[tuple(words(r[1]))].append(r)
+    keys = list(texts)
+    seqs = [brute_sequence(" ".join(w.decode() for w in k)) for k in keys]
+    sets, links = [set(s) for s in seqs], []
+    for i in range(len(keys)):
+        for j in range(i):
+            # the union holds at least the longer one, the matches are shared shingles
+            if len(sets[i] & sets[j]) >= 0.8 * max(len(sets[i]), len(sets[j]), 1) and brute_similarity(seqs[i], seqs[j]) >= 0.8:
+                links.append((i, j))
+    return [[r for i in c for r in texts[keys[i]]] for c in joined(len(keys), links)]
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
+    """Every stage of the chain against brute force on its own input, with the clashing columns carried along."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
     at = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
-    kept = {}
+    inputs, outputs = {}, {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, at, f"file://{tmp_path}")
         if name != "packing":
-            assert out.columns == at.columns
-        at = common.materialise(out, name)
-        kept[name] = at
-    rejected = {300, 301, 302, 303, 306}
-    after = [r for r in rows if r[0] not in rejected]
-    assert kept["language_id"].count() == len(after)
-    assert kept["exact_dedup"].count() == len({norm(r[1]) for r in after})
-    ids = {r["doc_id"] for r in kept["near_dedup"].collect()}
-    assert {140, 142, 150} <= ids and not {141, 143, 151} & ids and {200, 201, 202, 203, 204, 205} <= ids
-    assert {r["doc_id"] for r in kept["mixing"].collect()} <= ids
+            assert out.columns == docs.columns
+        inputs[name], at = at, common.materialise(out, name)
+        outputs[name] = [tuple(r) for r in at.collect()]
+    given = {name: [tuple(r) for r in df.collect()] for name, df in inputs.items()}
+    assert Counter(given["language_id"]) == Counter(rows)
+    assert Counter(outputs["language_id"]) == Counter(r for r in rows if any(c.isalpha() for c in r[1] or ""))
+    equal = defaultdict(list)
+    for r in given["exact_dedup"]:
+        equal[norm(r[1])].append(r)
+    assert Counter(r[0] for r in outputs["exact_dedup"]) == Counter(r[0] for r in smallest_of(equal.values()))
+    assert Counter(outputs["near_dedup"]) == smallest_of(near_groups(given["near_dedup"]))
+    size, taken, most = Counter(), Counter(), Counter()
+    for r in given["mixing"]:
+        size[r[3]] += len(words(r[1]))
+        most[r[3]] = max(most[r[3]], len(words(r[1])))
+    for r, n in Counter(outputs["mixing"]).items():
+        assert r in given["mixing"] and n <= 3 * given["mixing"].count(r)
+        taken[r[3]] += n * len(words(r[1]))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    for s, target in zip(names, water_fill([size[n] for n in names])):
+        assert abs(taken[s] - target) <= most[s] / 2 + 1
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    tokens = Counter()
+    for r in given["packing"]:
+        tokens[r[0]] += len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1
+    pieces = at.select("doc_id", "length", "sequence_id").collect()
+    packed, full = Counter(), Counter()
+    for p in pieces:
+        packed[p["doc_id"]] += p["length"]
+        full[p["sequence_id"]] += p["length"]
+    assert packed == tokens and all(n == 2048 for s, n in full.items() if s != max(full))
     run = corpus_pipeline.run(spark, f"file://{tmp_path}")
-    assert run.columns == kept["packing"].columns and run.agg(F.sum("length")).first()[0] == kept["packing"].agg(F.sum("length")).first()[0]
+    assert run.columns == at.columns and Counter(map(tuple, run.collect())) == Counter(outputs["packing"])
+
+
+def test_pipeline_of_an_empty_table(spark, none, tmp_path):
+    import corpus_pipeline
+
+    none.write.parquet(f"file://{tmp_path}/documents.parquet")
+    at = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        at = common.materialise(stage(spark, at, f"file://{tmp_path}"), name)
+        assert at.count() == 0
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
 
 
 def test_entry_without_the_subpackage(tmp_path):
@@ -867,5 +922,6 @@ def test_entry_without_the_subpackage(tmp_path):
     top = Path(__file__).resolve().parents[2]
     shutil.copytree(top / "verisift", tmp_path / "verisift", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(top / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'find_duplicates' in q and not any(k.startswith('op') for k in q) and 'pipeline' not in q"
+    shutil.copy(top / "corpus_pipeline.py", tmp_path)
+    code ="import __spark_entry__ as e; q = e.queries(); assert 'find_duplicates' in q and not any(k.startswith('op') for k in q) and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
