@@ -85,7 +85,7 @@ def discard(df: DataFrame) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers, and bound what a worker holds of a batch."""
-    for key, usual, bounded in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", None, str(32 << 20))):
+    for key, usual, bounded in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", None, str(8 << 20))):
         key = f"spark.sql.execution.arrow.{key}"  # some MB of text in a worker at a time
         if spark.conf.get(key, None) in (usual, str(2**31 - 1), str(2**63 - 1)):
             spark.conf.set(key, bounded)
@@ -101,10 +101,28 @@ def _return_memory() -> None:
         pass
 
 
-def tidy(run):
-    """A batch function that returns its memory when its task is done."""
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """What a Python worker keeps from task to task for the functions that name it in ``tidy``; a task of any other function empties it."""
+    return _CACHES.setdefault(name, {})
+
+
+def _forget(but: str) -> None:
+    others = [c for name, c in _CACHES.items() if name != but and c]
+    for c in others:
+        c.clear()
+    if others:
+        gc.collect()
+        _return_memory()
+
+
+def tidy(run, cache: str = ""):
+    """A batch function that returns its memory when its task is done, and that of worker caches other than ``cache`` when it begins."""
 
     def wrapped(batches):
+        _forget(cache)
         try:
             ctypes.CDLL(None).mallopt(-3, 1 << 20)  # arrays above 1 MB are mapped, so freeing them frees them
         except (OSError, AttributeError):

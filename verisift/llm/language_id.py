@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _R, held_out, materialise, mix64, ship, table, tidy
+from .common import _R, held_out, materialise, mix64, ship, table, tidy, worker_cache
 
 FIT_ROWS = 10_000
 EM_ROUNDS = 2
@@ -37,6 +37,7 @@ MAX_WORD = 32
 UNKNOWN = 1e-7
 CACHE_WORDS = 250_000
 FLUSH_WORDS = 300_000
+BUFFER_BYTES = 1 << 20
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 _WORDS = re.compile(r"[^\W\d_]+")  # holds other numerals, too, such as ½
@@ -115,7 +116,7 @@ class Pieces:
         return out
 
 
-_PIECES: dict[str, Pieces] = {}
+_PIECES: dict[str, Pieces] = worker_cache("pieces")
 
 
 def pieces(path: str) -> Pieces:
@@ -241,7 +242,7 @@ def fit(labelled: DataFrame, *, fit_rows: int = FIT_ROWS, rounds: int = EM_ROUND
     probs = np.full((vocab.n + 1, len(langs)), 1.0 / vocab.n)
     probs[-1] = UNKNOWN
     for _ in range(rounds if langs else 0):
-        got = words.mapInArrow(tidy(_expect(path, langs, probs)), "k int, piece int, expected double").groupBy("k", "piece").agg(F.sum("expected").alias("expected")).toPandas()
+        got = words.mapInArrow(tidy(_expect(path, langs, probs), "pieces"), "k int, piece int, expected double").groupBy("k", "piece").agg(F.sum("expected").alias("expected")).toPandas()
         total = np.zeros((len(langs), vocab.n + 1))
         total[got["k"].to_numpy(), got["piece"].to_numpy()] = got["expected"].to_numpy()
         total = np.round(total, 6)[:, :-1] + 0.1
@@ -308,7 +309,7 @@ def _predict(shared, keep_text: bool = False):
             for i in range(len(texts)):  # slabs of some MB of text
                 part.append(texts[i].as_py() or b"")
                 held += len(part[-1])
-                if held > 4 << 20 or i == len(texts) - 1:
+                if held >= BUFFER_BYTES or i == len(texts) - 1:
                     totals.append(scorer.totals(part))
                     lo, part, held = i + 1, [], 0
             total = np.concatenate(totals) if totals else np.zeros((0, len(langs) + 1))
@@ -331,7 +332,7 @@ def predict(rows: DataFrame, model: LanguageModel, *, keep_text: bool = False) -
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep_text or f.name != "text")
-    return rows.mapInArrow(tidy(_predict(shared, keep_text)), f"{carried}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(_predict(shared, keep_text), "pieces"), f"{carried}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, *, modulus: int = 5, remainder: int = 0) -> DataFrame:

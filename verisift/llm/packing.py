@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, materialise, ship, table, tidy
+from .common import materialise, mix64, ship, table, tidy, worker_cache
 
 SEQUENCE = 2048
 END_ID = 1
 HASHED, DIMS, BITS = 1024, 3, 10
 CACHE_WORDS = 600_000  # entries of a worker process's cache
-BUFFER_BYTES = 3 << 20
+BUFFER_BYTES = 1 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -88,11 +88,11 @@ class WordEncoder:
         return [b"".join(map(get, ws)) for ws in split]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = worker_cache("encoders")
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each path and worker process."""
+    """One encoder for each path and worker process, until a task of another function runs there."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -196,7 +196,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq
     id_type = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
     tokens = materialise(
         docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(tidy(_tokenise(tokenizer or tokenizer_path(), end_id)), f"row long, doc_id {id_type}, key long, n long, ids binary"),
+        .mapInArrow(tidy(_tokenise(tokenizer or tokenizer_path(), end_id), "encoders"), f"row long, doc_id {id_type}, key long, n long, ids binary"),
         "tokens",
     )
     ranged = materialise(tokens.select("row", "key", "n").repartitionByRange("key", "row").withColumn("part", F.spark_partition_id()), "curve")
