@@ -50,7 +50,8 @@ class WordEncoder:
     """
 
     MARK = b"\x01"
-    AFTER_WORD = staticmethod(re.compile(rb"(?<=[a-z])(?=[.,])").sub)
+    # an ASCII mark other than the apostrophe, straight after a letter of ASCII or Latin-1
+    AFTER_WORD = staticmethod(re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))").sub)
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -76,9 +77,9 @@ class WordEncoder:
             self.words.update(zip(block, map(lambda a, b: data[a:b], [0, *(x + 2 for x in stops)], [*stops, len(data)])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        # Lower case merges cache entries, and so does a point or comma taken from its word: the tokenizer lower-cases, too, and ends
+        # Lower case merges cache entries, and so does a mark taken from the word before it: the tokenizer lower-cases, too, and ends
         # a run of letters there. Its special strings are case-sensitive.
-        split = [(t if b"<|" in t else self.AFTER_WORD(b" ", t.lower())).split() for t in texts]
+        split = [(t if b"<|" in t else self.AFTER_WORD(rb" \g<0>", t.lower())).split() for t in texts]
         new = set().union(*split).difference(self.words) if split else set()
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words = dict(islice(self.words.items(), CACHE_WORDS // 2))  # the first come are the frequent ones
