@@ -703,6 +703,9 @@ def test_encoder_equals_the_tokenizer():
 
     t = Tokenizer.from_file(packing.tokenizer_path())
     texts = ["", "  ", "<|endoftext|> a<|endoftext|>b <|ENDOFTEXT|>", "ÀÉ é é ΟΔΟΣ İstanbul it's I'LL don't 12² ½x ﬁ", "x\x1cy \x01 a\x01b", "你好 世界 🎉🎉ok", "z" * 3000]
+    pick = np.random.default_rng(7)
+    odd = [*"aeZA'stre09 \n.,;:!?*#$&()[]{}<|>^`~_-+=/\\\"@%\x01éÉß×÷ÿñΣσІ中…«’\u0338\u0301½Ⅷ\xa0", "'s", "'ll", "word"]
+    texts += ["".join(pick.choice(odd, n)) for n in pick.integers(0, 60, 3000)] + [a + b + c for a in odd for b in odd for c in ("Σ", "s", "\u0338")]
     got = packing.WordEncoder(packing.tokenizer_path()).encode([x.encode() for x in texts])
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
