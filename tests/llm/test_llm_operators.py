@@ -645,6 +645,70 @@ def test_score_against_a_plain_softmax(spark, docs, rows, monkeypatch):
         assert got[i] == pytest.approx(score(text), rel=1e-4)  # all known words are in the head: an unknown one has the whole of the last event
 
 
+def test_every_context_has_room_for_a_row_of_its_own():
+    """60,000 words before a token, their pairs and their classes, in the table of 16 million training tokens: none but chance collisions share a row."""
+    layout = lm_scoring.Layout(1 << 24)
+    rng = np.random.default_rng(6)
+    c = np.unique(rng.integers(1, 2**63, 60000).astype(np.uint64))
+    by_class, in_class = layout.features(c, c[::-1].copy(), np.roll(c, 1), rng.integers(0, 32, len(c)))
+    assert all(len(np.unique(rows)) > 0.99 * len(c) for rows in by_class + in_class[1:])
+    assert [lm_scoring.Layout(1 << k).bits > k for k in (10, 20, 33, 40)] == [True] * 4
+
+
+def test_rows_travel_and_merge_whole():
+    """Over several shards: rows come back as sent, are averaged by tokens, kept where no one touched them, and answered to those who ask."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    far = 5 << lm_scoring.SHARD_BITS
+    ids = [np.unique(rng.integers(0, far, 3000)) for _ in range(3)]
+    w = [(rng.integers(-3000, 3000, (len(i), 32)) / 64).astype(np.float32) for i in ids]
+    n = [rng.integers(1, 50, len(i)) for i in ids]
+    old = lm_scoring.pack(ids[2], None, w[2])
+    assert (old.num_rows, *map(np.array_equal, lm_scoring.unpack(old.to_pylist()[::-1]), (ids[2], w[2] * 64))) == (5, True, True)
+    sent = pa.Table.from_batches([lm_scoring.pack(ids[0], n[0], w[0]), old, lm_scoring.pack(ids[1], n[1], w[1])])
+    shards = [lm_scoring._merge(sent.filter(pa.compute.equal(sent["shard"], s))) for s in range(5)]
+    got = dict(zip(*lm_scoring.unpack(pa.concat_tables(shards).to_pylist())))
+    want, tokens = {}, Counter()
+    for i in (0, 1):
+        for row, k, x in zip(ids[i].tolist(), n[i], w[i] * 64.0):
+            want[row] = want.get(row, 0) + k * x
+            tokens[row] += k
+    want = {row: np.rint(x / tokens[row]) for row, x in want.items()}
+    want = dict(zip(ids[2].tolist(), w[2] * 64)) | want
+    assert got.keys() == want.keys() and all(np.array_equal(got[r], want[r]) for r in want)
+    asked = np.unique(np.concatenate([ids[0][::2], rng.integers(0, far, 500)]))
+    ask = pa.Table.from_batches([lm_scoring.pack(asked, part=9)])
+    answers = [lm_scoring._answer(pa.concat_tables([t, ask.filter(pa.compute.equal(ask["shard"], s))])) for s, t in enumerate(shards)]
+    assert all(set(a["part"].to_pylist()) == {9} for a in answers)
+    assert lm_scoring.unpack(pa.concat_tables(answers).to_pylist())[0].tolist() == [r for r in asked.tolist() if r in want]
+
+
+def test_training_in_parts_against_the_whole_table(spark, docs):
+    """Two parts, two rounds: the weights are those of trainers that hold the whole table, averaged by tokens."""
+    frame = docs.where("length(text) < 5000").select((F.pmod(F.xxhash64("text"), F.lit(2))).alias("part"), "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("round"))
+    frame = common.materialise(frame.repartition(1).sortWithinPartitions("part", "doc_id", "text"), "ordered")
+    vocab = lm_scoring.fit_vocabulary(lm_scoring.count_words(frame))
+    got = lm_scoring.train(frame.select("part", "doc_id", "text"), vocab)
+    want, at = vocab.start_weights(), vocab.layout
+    rows_ = frame.collect()
+    for k in (0, 1):
+        total, tokens = np.zeros(want.shape), np.zeros(len(want))
+        for part in (0, 1):
+            texts = [lm_tokens(r["text"]) for r in rows_ if (r["part"], r["round"]) == (part, k)]
+            assert texts
+            index = vocab.find(np.concatenate(texts))
+            trainer = lm_scoring.Trainer(want)
+            trainer.learn(vocab, vocab.left_out[index].astype(np.int64), vocab.code[index], np.cumsum([0, *map(len, texts)]))
+            total += trainer.w * trainer.touched[:, None]
+            tokens += trainer.touched
+        new = np.flatnonzero(tokens)
+        want[new] = np.rint(total[new] / tokens[new, None] / lm_scoring.STEP) * lm_scoring.STEP
+    touched = np.flatnonzero(np.abs(want - vocab.start_weights()).max(axis=1))
+    assert len(touched) > 1000 and max(np.abs(got[int(r)] - want[r]).max() for r in touched) <= 2 * lm_scoring.STEP
+    assert set(got.rows) <= set(touched.tolist()) | set(range(at.bias, at.slot_bias + 32)) | {r for r, x in got.rows.items() if not x.any()}
+
+
 def lm_tokens(text):
     import pyarrow as pa
 
