@@ -709,6 +709,44 @@ def test_training_in_parts_against_the_whole_table(spark, docs):
     assert set(got.rows) <= set(touched.tolist()) | set(range(at.bias, at.slot_bias + 32)) | {r for r, x in got.rows.items() if not x.any()}
 
 
+def test_each_softmax_is_learned_alone():
+    """The rows of one softmax at a time, with the weights that learning both at once gives; never both in a worker."""
+    import pyarrow as pa
+
+    texts = pa.record_batch({"text": pa.array(["a b c a b d", "b c a d e f a b", None, "c c c a"] * 40)})
+    words_, counts = np.unique(np.concatenate([lm_tokens(t) for t in texts.column("text").to_pylist()]), return_counts=True)
+    vocab = lm_scoring.Vocabulary(words_, counts, {"tokens": int(counts.sum()), "types": len(words_), "threshold": 1, "outside_tokens": 0, "unseen": 0.0})
+    both = lm_scoring.unpack(lm_scoring._learn(vocab, [texts], []).to_pylist())
+    apart = [lm_scoring.unpack(lm_scoring._learn(vocab, [texts], [], k).to_pylist()) for k in (0, 1)]
+    assert apart[0][0].max() < vocab.layout.bias < apart[1][0].min() and both[1].any()
+    assert all(np.array_equal(np.concatenate([a[k] for a in apart]), both[k]) for k in (0, 1))
+
+
+def test_a_later_round_stands_for_the_rounds_before(spark):
+    """A round adds its rows to the table, which is not written again; its shuffles are gone as soon as it is written."""
+    import pyarrow as pa
+
+    old, new = np.array([3, 8, 900_000]), np.array([8, 11])
+    records = [lm_scoring.pack(ids, None, np.full((len(ids), 32), x, np.float32)).to_pylist() for ids, x in ((old, 1), (new, 2))]
+    for r in records[1]:
+        r["part"] = -1
+    files = lambda: sum(".data" in str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()))
+    before, kept, weights = files(), spark.conf.get(common.CLEANUP, None), None
+    for r in records:
+        frame = spark.createDataFrame([tuple(x.values()) for x in r], lm_scoring.SHARD).repartition(3, "ids")
+        with common.dropping_shuffles(spark):
+            weights = common.materialise_by(frame, "shard", "lm_weights_test", into=weights)
+    assert (files(), spark.conf.get(common.CLEANUP, None)) == (before, kept)
+    rows_ = [r.asDict() for r in weights.collect()]
+    for given in (rows_, rows_[::-1]):
+        ids, steps = lm_scoring.unpack(given)
+        assert dict(zip(ids.tolist(), (steps[:, 0] / 64).tolist())) == {3: 1, 8: 2, 11: 2, 900_000: 1}
+    asked = pa.Table.from_batches([lm_scoring.pack(np.array([8]), part=4)])
+    got = lm_scoring._answer_from(asked, pa.Table.from_pylist([r for r in rows_ if r["shard"] == 0], asked.schema)).to_pylist()
+    assert [(r["part"], x.tolist()) for r in got for x in lm_scoring.unpack([r])] == [(4, [8]), (4, [[128] * 32])]
+    common.discard(weights)
+
+
 def lm_tokens(text):
     import pyarrow as pa
 
