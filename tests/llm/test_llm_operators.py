@@ -248,6 +248,39 @@ def test_small_windows(docs, rows):
         assert got[r[0], len(gone)] == sum(gone)
 
 
+def test_windows_of_one_word(docs, rows):
+    """Runs of neighbouring documents touch without joining."""
+    got = Counter((g["doc_id"], g["n_words"], g["n_removed"]) for g in substring_dedup.remove_repeats(docs, window=1).collect())
+    assert got == Counter((r[0], len(gone), sum(gone)) for r, gone in zip(rows, brute_repeats([words(r[1]) for r in rows], 1)))
+
+
+def test_short_documents_are_hashed_together(monkeypatch):
+    """Few steps for many documents; each document's units and runs are those it has on its own."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, n)) for n in [*rng.integers(0, 120, 300), 5000]]
+    lone = [sorted(set(rng.integers(0, 120, 2).tolist())) for _ in texts]
+    batch = pa.record_batch({"row": pa.array(np.arange(len(texts)) + 70), "text": pa.array(texts), "lone": pa.array(lone, pa.list_(pa.int32()))})
+    calls, real = [], substring_dedup.shingle_hashes
+    monkeypatch.setattr(substring_dedup, "shingle_hashes", lambda *a, **k: calls.append(a) or real(*a, **k))
+
+    def units(read, b, length):
+        return Counter(tuple(x.values()) for out in substring_dedup._units(read, length, 35, length < 18)(iter([b])) for x in out.to_pylist())
+
+    def survivors(read, b, length):
+        return pa.Table.from_batches(list(substring_dedup._survive(read, length, 35)(iter([b]))))
+
+    whole, together = units(substring_dedup._from_texts, batch, 9), survivors(substring_dedup._from_texts, batch, 9)
+    assert len(calls) < 10
+    alone = [batch.slice(i, 1) for i in range(len(texts))]
+    assert whole == sum((units(substring_dedup._from_texts, b, 9) for b in alone), Counter())
+    assert together.to_pylist() == [x for b in alone for x in survivors(substring_dedup._from_texts, b, 9).to_pylist()]
+    runs = together.combine_chunks().to_batches()[0]
+    for length in (18, 35):
+        assert units(substring_dedup._from_runs, runs, length) == sum((units(substring_dedup._from_runs, runs.slice(i, 1), length) for i in range(runs.num_rows)), Counter())
+
+
 # --------------------------------------------------------------------------- 3: near-dedup
 
 def brute_sequence(t):

@@ -309,8 +309,13 @@ def shingle_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, _U64)
-    acc = np.zeros(n, _U64)
+    done, power, bits = words, _R, bin(k)[3:]  # the runs of ``width`` words and _R**width, by doubling
+    width = 1
     with np.errstate(over="ignore"):
-        for j in range(k):
-            acc = acc * _R + words[j:j + n]
-        return mix64(acc + _U64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
+        for bit in bits:
+            done = done[:-width] * power + done[width:]
+            width, power = 2 * width, power * power
+            if bit == "1":
+                done = done[:-1] * _R + words[width:]
+                width, power = width + 1, power * _R
+        return mix64(done + _U64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))

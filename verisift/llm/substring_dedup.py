@@ -37,6 +37,7 @@ from .filters import BlockFilter
 WINDOW = 35
 LEVELS = 4
 BATCH_ROWS = 1 << 20
+CHUNK_WORDS = 1 << 15  # words looked at at once, but for a longer document
 MARKER = -1  # position of the unit that each document with a window has besides its own: it is always alone, so that the document is in the count of lone units
 
 
@@ -67,22 +68,44 @@ def window_anchors(words: np.ndarray, length: int, window: int) -> tuple[np.ndar
     return sliding_argmin(hashes, window - length + 1), hashes
 
 
-def _from_texts(batch: pa.RecordBatch, window: int, twice: bool):
-    """(row in batch, runs) of each text with a window; it is one run: position, word hashes, and second hashes if ``twice``."""
+class Runs:
+    """Runs of words of a batch's documents one after the other: word hashes, second hashes, where each run begins and the last ends, its position and row in the batch."""
+
+    def __init__(self, words: np.ndarray, second: np.ndarray, starts: np.ndarray, at: np.ndarray, owner: np.ndarray):
+        self.words, self.second, self.starts, self.at, self.owner = words, second, starts, at, owner
+
+    def some(self) -> Iterator[Runs]:
+        """The runs by some CHUNK_WORDS words at a time."""
+        lo = 0
+        while lo < len(self.at):
+            hi = max(lo + 1, int(np.searchsorted(self.starts, self.starts[lo] + CHUNK_WORDS, side="right")) - 1)
+            part = slice(self.starts[lo], self.starts[hi])
+            yield Runs(self.words[part], self.second[part], self.starts[lo:hi + 1] - self.starts[lo], self.at[lo:hi], self.owner[lo:hi])
+            lo = hi
+
+    def windows(self, window: int) -> np.ndarray:
+        """Where the windows begin that lie in one run."""
+        return np.flatnonzero(np.arange(window, len(self.words) + window) <= np.repeat(self.starts[1:], np.diff(self.starts)))
+
+    def keys(self, where: np.ndarray) -> np.ndarray:
+        """Row in the batch and position in the document of words, as one number."""
+        run = np.searchsorted(self.starts, where, side="right") - 1
+        return (self.owner[run] << 32) + where - self.starts[run] + self.at[run]
+
+
+def _from_texts(batch: pa.RecordBatch, twice: bool) -> Runs:
+    """Each text is one run; second hashes if ``twice``."""
     raw, offsets = binary_column(batch.column("text"))
     starts, ends, at = word_spans(raw, offsets)
     hashes = word_hashes(raw, starts, ends)
     second = word_hashes(raw, starts, ends, table=OTHER_TABLE).astype(np.uint32) if twice else hashes
-    for i in np.flatnonzero(np.diff(at) >= window).tolist():
-        yield i, [(0, hashes[at[i]:at[i + 1]], second[at[i]:at[i + 1]])]
+    return Runs(hashes, second, at, np.zeros(len(at) - 1, np.int64), np.arange(len(at) - 1))
 
 
-def _from_runs(batch: pa.RecordBatch, window: int, twice: bool):
+def _from_runs(batch: pa.RecordBatch, twice: bool) -> Runs:
     """The same from survivors."""
-    at, size, words, second = (_lists(batch.column(c)) for c in ("at", "size", "words", "second"))
-    for i in range(batch.num_rows):
-        cut = np.cumsum(size(i))[:-1]
-        yield i, list(zip(at(i).tolist(), np.split(words(i).view(np.uint64), cut), np.split(second(i).view(np.uint32), cut)))
+    at, size, words, second = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("at", "size", "words", "second"))
+    return Runs(words.view(np.uint64), second.view(np.uint32), np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), at.astype(np.int64), np.repeat(np.arange(batch.num_rows), np.diff(batch.column("at").offsets.to_numpy())))
 
 
 def _lists(column):
@@ -93,6 +116,11 @@ def _lists(column):
     return lambda i: values[offsets[i]:offsets[i + 1]]
 
 
+def _among(values: np.ndarray, those: np.ndarray) -> np.ndarray:
+    """Which values are among ascending others."""
+    return those[np.minimum(np.searchsorted(those, values), len(those) - 1)] == values if len(those) else np.zeros(len(values), bool)
+
+
 _UNIT = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("row", pa.int64()), ("pos", pa.int32()), ("units", pa.int32())])
 
 
@@ -108,23 +136,23 @@ def _units(read, length: int, window: int, marked: bool):
 
         for batch in batches:
             rows = batch.column("row").to_numpy()
-            for i, segments in read(batch, window, length == window):
-                h1, h2, pos = [], [], []
-                for at, words, second in segments:
-                    anchors, hashes = window_anchors(words, length, window)
-                    own = np.unique(anchors)
-                    h1.append(hashes[own].view(np.int64))
-                    h2.append((shingle_hashes(second.astype(np.uint64), window, seed=2)[own].astype(np.uint32) if length == window else np.zeros(len(own), np.uint32)).view(np.int32))
-                    pos.append((own + at).astype(np.int32))
-                if marked:
-                    h1.append(rows[i:i + 1])
-                    h2.append(np.array([MARKER], np.int32))
-                    pos.append(np.array([MARKER], np.int32))
-                pos = np.concatenate(pos)
+            for runs in read(batch, length == window).some():
+                own, hashes = window_anchors(runs.words, length, window)
+                own = own[runs.windows(window)]  # ascending
+                own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+                h1 = hashes[own].view(np.int64)
+                h2 = (shingle_hashes(runs.second.astype(np.uint64), window, seed=2)[own].astype(np.uint32) if length == window else np.zeros(len(own), np.uint32)).view(np.int32)
                 # an anchor of two runs of a document stands in each of them: it is one unit
-                _, first = np.unique(pos, return_index=True)
-                parts.append((np.concatenate(h1)[first], np.concatenate(h2)[first], np.full(len(first), rows[i]), pos[first], np.full(len(first), len(first), np.int32)))
-                held += len(first)
+                keys, first = np.unique(runs.keys(own), return_index=True)
+                owner, pos, h1, h2 = keys >> 32, keys.astype(np.int32), h1[first], h2[first]
+                units = np.bincount(owner, minlength=batch.num_rows)
+                if marked:
+                    has = np.flatnonzero(units)
+                    owner, h1 = np.concatenate([owner, has]), np.concatenate([h1, rows[has]])
+                    h2, pos = (np.concatenate([x, np.full(len(has), MARKER, np.int32)]) for x in (h2, pos))
+                    units[has] += 1
+                parts.append((h1, h2, rows[owner], pos, units[owner].astype(np.int32)))
+                held += len(owner)
                 if held >= BATCH_ROWS:
                     yield flush()
                     parts, held = [], 0
@@ -140,21 +168,33 @@ def _survive(read, length: int, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lone, rows, at, size, words, second = _lists(batch.column("lone")), [], [], [], [], []
-            for i, segments in read(batch, window, True):
-                kept = []
-                for start, w, s in segments:
-                    alive = ~np.isin(window_anchors(w, length, window)[0] + start, lone(i))
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], alive, [False]]).astype(np.int8)))
-                    kept += [(start + a, w[a:b + window - 1], s[a:b + window - 1]) for a, b in edge.reshape(-1, 2).tolist()]
-                if kept:
-                    rows.append(i)
-                    at.append([k[0] for k in kept])
-                    size.append([len(k[1]) for k in kept])
-                    words.append([] if last else np.concatenate([k[1] for k in kept]).view(np.int64))
-                    second.append([] if last else np.concatenate([k[2] for k in kept]).astype(np.uint32).view(np.int32))
+            column = batch.column("lone")
+            lone = np.sort((np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy())) << 32) + column.flatten().to_numpy(zero_copy_only=False))
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32))]
+            for runs in read(batch, not last).some():
+                where = runs.windows(window)
+                if not len(where):
+                    continue
+                keys = runs.keys(window_anchors(runs.words, length, window)[0][where])
+                alive = np.zeros(len(runs.words) + 1, bool)
+                alive[where] = ~_among(keys, lone)
+                begins = np.zeros(len(alive), bool)
+                begins[runs.starts] = True  # runs of two documents don't join
+                first = np.flatnonzero(alive & (begins | ~np.concatenate([[False], alive[:-1]])))
+                size = np.flatnonzero(alive[:-1] & (begins[1:] | ~alive[1:])) + window - first
+                taken = np.zeros(0, np.int64) if last else np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                keys = runs.keys(first)
+                out.append((keys >> 32, keys & (1 << 32) - 1, size, runs.words[taken], runs.second[taken].astype(np.uint32)))
+            owner, at, size, words, second = (np.concatenate(x) for x in zip(*out))
+            rows = np.flatnonzero(np.bincount(owner, minlength=batch.num_rows))
+            cuts = np.append(np.searchsorted(owner, rows), len(owner))
+            runs_of = lambda x, kind: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, kind))
+            ends = pa.array((np.concatenate([[0], np.cumsum(size)])[cuts] if not last else np.zeros(len(cuts))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(pa.array(rows, pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(size, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int32()))],
+                [
+                    batch.column("row").take(pa.array(rows, pa.int64())), runs_of(at, pa.int32()), runs_of(size, pa.int32()),
+                    pa.ListArray.from_arrays(ends, pa.array(words.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(second.view(np.int32))),
+                ],
                 names=["row", "at", "size", "words", "second"],
             )
 
