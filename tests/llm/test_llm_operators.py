@@ -717,6 +717,37 @@ def test_rows_travel_and_merge_whole():
     assert lm_scoring.unpack(pa.concat_tables(answers).to_pylist())[0].tolist() == [r for r in asked.tolist() if r in want]
 
 
+def test_parts_hold_tokens_and_scores_come_from_steps(monkeypatch):
+    """What a part holds in place of texts is what the texts give; numbers travel whole in as few planes as they need; steps and weights score alike."""
+    import pyarrow as pa
+
+    for x in (np.array([], np.uint16), np.zeros(9, np.uint32), np.array([0, 255], np.int64), np.array([65535, 256], np.uint16), np.array([3, 1 << 50], np.int64)):
+        sent = lm_scoring.squeeze(x)
+        assert sent[0] == (int(x.max(initial=0)).bit_length() + 7) // 8 and np.array_equal(lm_scoring.expand(sent, x.dtype, len(x)), x)
+    rng = np.random.default_rng(11)
+    texts = [None, "", *(" ".join(f"w{k}" for k in rng.zipf(1.3, n) % 5000) for n in (1, 400, 3000)), "x"]
+    batch = pa.RecordBatch.from_pydict({"row": [*range(6)], "doc_id": [*range(6)], "held_out": [False] * 6, "text": pa.array(texts, pa.string())})
+    _, tokens, offsets = next(lm_scoring.slabs(batch))
+    words_, counts = np.unique(tokens, return_counts=True)
+    head = counts > 1
+    stats = {"tokens": len(tokens), "types": len(words_), "threshold": 2, "outside_tokens": int((~head).sum()), "unseen": 0.5}
+    vocab = lm_scoring.Vocabulary(words_[head], counts[head], stats)
+    monkeypatch.setattr(lm_scoring, "TaskContext", type("One", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})())}))
+    (dealt,) = lm_scoring._deal(type("Shared", (), {"value": vocab}))(iter([batch]))
+    for one, other in ((lm_scoring.indexed(vocab, dealt.slice(k)), lm_scoring.indexed(vocab, batch.slice(k))) for k in (0, 2)):
+        assert all(np.array_equal(a, b) for a, b in zip(next(one), next(other), strict=True))
+    index = vocab.find(tokens)
+    at = np.split(tokens, offsets[1:-1])
+    assert dealt["outside"].to_pylist() == [t[vocab.find(t) == len(vocab.counts) - 1].view(np.int64).tolist() for t in at] and dealt["part"].to_pylist() == [3 << 32] * 6
+    events, codes = vocab.event[index].astype(np.int64), vocab.code[index]
+    for softmax in (0, 1):
+        ids, steps = lm_scoring.unpack(lm_scoring._learn(vocab, [batch.slice(3, 1)], [], softmax).to_pylist(), spare=1)
+        used = [lm_scoring.Used(vocab, vocab.place[events], codes, offsets, softmax) for _ in range(2)]
+        want = lm_scoring.log_probs(used[0].weights(ids, steps[:-1]), vocab, events, codes, offsets, used[0])
+        used[1].point_to(ids, steps)
+        assert len(ids) < len(used[0].ids) and np.allclose(lm_scoring.log_probs(steps, vocab, events, codes, offsets, used[1]), want, rtol=1e-5, atol=1e-5)
+
+
 def test_training_in_parts_against_the_whole_table(spark, docs):
     """Two parts, two rounds: the weights are those of trainers that hold the whole table, averaged by tokens."""
     frame = docs.where("length(text) < 5000").select((F.pmod(F.xxhash64("text"), F.lit(2))).alias("part"), "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("round"))
